@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from gleanery.llm import packing
+from gleanery.llm import chat, langid, packing
 
 
 def queries() -> dict:
-    return {"op3_best_fit_packing": packing.op3_best_fit_packing}
+    return {
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op7_language_mixture": langid.op7_language_mixture,
+        "op9_chat_round_trip": chat.op9_chat_round_trip,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
