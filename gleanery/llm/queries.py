@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gleanery.llm import chat, langid, packing
+from gleanery.llm import chat, langid, packing, tokencount
 
 
 def queries() -> dict:
     return {
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op6_trie_token_counts": tokencount.op6_trie_token_counts,
         "op7_language_mixture": langid.op7_language_mixture,
         "op9_chat_round_trip": chat.op9_chat_round_trip,
     }
