@@ -93,6 +93,19 @@ def _sweep_at_exit(spark: SparkSession) -> None:
     atexit.register(sweep)
 
 
+def drop_at_exit(spark: SparkSession, name: str) -> None:
+    """Remove a table of the warehouse when the driver ends in good order."""
+
+    def drop() -> None:
+        if spark.sparkContext._jsc is not None:
+            try:
+                spark.sql(f"drop table if exists {name}")
+            except Exception:  # as above
+                pass
+
+    atexit.register(drop)
+
+
 def tokenizer_path(name: str) -> str:
     """The place of a public vocabulary file; read where it is, never copied."""
     import public_tokenizers

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.llm import chat, langid, packing, tokencount
+from gleanery.llm import chat, langid, packing, suffixes, tokencount
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op6_trie_token_counts": tokencount.op6_trie_token_counts,
         "op7_language_mixture": langid.op7_language_mixture,
         "op9_chat_round_trip": chat.op9_chat_round_trip,
+        "op10_suffix_dedup": suffixes.op10_suffix_dedup,
     }
 
 
