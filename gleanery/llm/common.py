@@ -65,14 +65,14 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _sweep_at_exit(spark)
+    sweep_at_exit(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _swept: set[str] = set()
 
 
-def _sweep_at_exit(spark: SparkSession) -> None:
+def sweep_at_exit(spark: SparkSession) -> None:
     """Remove this application's written tables when the driver ends in good order."""
     app = spark.sparkContext.applicationId
     if app in _swept:

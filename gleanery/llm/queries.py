@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from gleanery.llm import chat, langid, packing, suffixes, tokencount
+from gleanery.llm import chat, langid, packing, permutation, suffixes, tokencount, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_recurrent_toxicity": toxicity.op4_recurrent_toxicity,
+        "op5_permutation_index": permutation.op5_permutation_index,
         "op6_trie_token_counts": tokencount.op6_trie_token_counts,
         "op7_language_mixture": langid.op7_language_mixture,
+        "op8_merkle_audit": warc.op8_merkle_audit,
         "op9_chat_round_trip": chat.op9_chat_round_trip,
         "op10_suffix_dedup": suffixes.op10_suffix_dedup,
     }
