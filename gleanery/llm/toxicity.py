@@ -8,11 +8,12 @@ Training knows documents' labels, not which window earns them: it starts from em
 the log-odds of documents that hold the feature, and in each round takes from every toxic document its best-scored
 windows, and from every other document its best-scored and some further ones, all by the model so far.
 
-Scale: training uses a bounded sample of labelled rows (`sample` of each class, the first by a hash of doc_id), on the
+Scale: training uses a bounded sample of labelled rows (`sample` toxic ones and twice as
+many others, the first by a hash of doc_id), on the
 driver, and gives a model of fixed size, which is broadcast. Scoring is one pass with no shuffle; windows go through in batches of bounded
 size, so a very long text needs memory for its words only.
 
-Defined cases: null texts are empty; a text without words is one empty window; without a learnable row of both classes every
+Defined cases: null texts are empty; a text without words is harmless, score 0; without a learnable row of both classes every
 score is 0; a null doc_id isn't learned from; repeated rows are scored alike; empty tables give no rows; other columns are ignored.
 """
 
@@ -208,7 +209,7 @@ def _log_odds(seen: list[np.ndarray], toxic: np.ndarray, classes: int) -> np.nda
 
 def train(texts: list[str], toxic: np.ndarray, rounds: int | None = None, batch: int = 128, rate: float = 6e-3, seed: int = 11) -> dict[str, np.ndarray]:
     """The model learned from texts and their labels; rounds over few texts are more."""
-    rounds = rounds or int(np.clip(12_000 // max(1, len(texts)), 6, 30))
+    rounds = rounds or int(np.clip(12_000 // max(1, len(texts)), 6, 16))
     rng = np.random.default_rng(seed)
     m = new_model(seed)
     data = [features(t) for t in texts]
@@ -286,16 +287,16 @@ def _update(m: dict, state: dict, data: list, some: list[tuple[int, int, float]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> dict[str, np.ndarray] | None:
-    """The model, from at most `sample` documents of each class, or None without both. docs: rows that may be learned from."""
+    """The model, from at most `sample` toxic documents and twice as many others, or None without both. docs: rows that may be learned from."""
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
     drawn = []
     for y in (0, 1):
-        drawn += [(r.doc_id, y) for r in known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+        drawn += [(r.doc_id, y) for r in known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample * (2 - y)).collect()]
     if len({y for _, y in drawn}) < 2:
         return None
     label = dict(drawn)
-    wanted = docs.sparkSession.createDataFrame(drawn, "doc_id long, toxic int")  # 2 x sample rows at most
+    wanted = docs.sparkSession.createDataFrame(drawn, "doc_id long, toxic int")  # 3 x sample rows at most
     rows = common.documents(docs).join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")).orderBy("doc_id").collect()
     return train([r.text or "" for r in rows], np.array([label[r.doc_id] for r in rows]))
 
@@ -316,7 +317,9 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
                 group.append(t)
                 held += len(t)
                 if held > 1 << 18 or k == len(texts) - 1:
-                    found += text_logits(m, [features(t) for t in group]) if m else [np.full(1, -np.inf, np.float32)] * len(group)
+                    own = [features(t) for t in group] if m else []
+                    logits = text_logits(m, own) if m else group
+                    found += [x if m and len(f[0]) else np.full(1, -np.inf, np.float32) for x, f in zip(logits, own or group)]
                     group, held = [], 0
             best = np.array([f.max() for f in found], np.float64)
             value = np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best, -500, 500))), 0.0)
