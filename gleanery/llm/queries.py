@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gleanery.llm import chat, langid, packing, permutation, suffixes, tokencount, toxicity, warc
+from gleanery.llm import chat, decontam, langid, packing, permutation, suffixes, tokencount, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_simhash_decontamination": decontam.op1_simhash_decontamination,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_recurrent_toxicity": toxicity.op4_recurrent_toxicity,
         "op5_permutation_index": permutation.op5_permutation_index,
