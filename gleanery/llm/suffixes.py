@@ -37,7 +37,7 @@ from . import common
 
 U = np.uint64
 #: Bytes of text in one numeric pass.
-PASS = 1 << 20
+PASS = 1 << 18
 NULL_ID = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(20_240_501)
@@ -313,13 +313,14 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {_DDL[str(f.type)]}" for f in schema)
 
 
-def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes: int = 12 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, text, and removed: the start and end, in UTF-8 bytes, of its maximal runs of bytes
     that strings of `window` bytes cover which also start in a document with a smaller doc_id."""
     if not 8 <= gram <= window:
         raise ValueError("a gram has 8 to `window` bytes")
     spark = docs.sparkSession
     common.ship(spark)
+    common.small_batches(spark)
     source = common.documents(docs).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = int(total // part_bytes) + 1
