@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from gleanery.llm import chat, decontam, langid, packing, permutation, suffixes, tokencount, toxicity, warc
+import corpus_pipeline
+from gleanery.llm import chat, decontam, jaccard, langid, packing, permutation, suffixes, tokencount, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_simhash_decontamination": decontam.op1_simhash_decontamination,
+        "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_recurrent_toxicity": toxicity.op4_recurrent_toxicity,
         "op5_permutation_index": permutation.op5_permutation_index,
@@ -16,6 +18,7 @@ def queries() -> dict:
         "op8_merkle_audit": warc.op8_merkle_audit,
         "op9_chat_round_trip": chat.op9_chat_round_trip,
         "op10_suffix_dedup": suffixes.op10_suffix_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 

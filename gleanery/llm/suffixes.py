@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import common
 
@@ -313,22 +314,24 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {_DDL[str(f.type)]}" for f in schema)
 
 
-def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes: int = 8 << 20) -> DataFrame:
-    """One row per document: doc_id, text, and removed: the start and end, in UTF-8 bytes, of its maximal runs of bytes
+def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes: int = 8 << 20, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, text, rest (a struct of the columns named in carry), and removed: the start and end, in UTF-8 bytes, of its maximal runs of bytes
     that strings of `window` bytes cover which also start in a document with a smaller doc_id."""
     if not 8 <= gram <= window:
         raise ValueError("a gram has 8 to `window` bytes")
     spark = docs.sparkSession
     common.ship(spark)
     common.small_batches(spark)
-    source = common.documents(docs).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rest = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("boolean")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     total = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = int(total // part_bytes) + 1
     name = f"gleanery_{uuid.uuid4().hex}"
     source = source.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
     source.repartition(parts, "part").write.bucketBy(parts, "part").option("compression", "zstd").saveAsTable(name, format="parquet")
     common.drop_at_exit(spark, name)
-    texts = spark.table(name)
+    stored = spark.table(name)
+    texts = stored.select("doc_id", "text", "part")
 
     def read(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
         ids = table.column("doc_id").to_pylist()
@@ -438,11 +441,13 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes
             rows.append((p, _blob(c[mine]), _blob(lo[mine]), _blob(hi[mine])))
         return _table(_SPANS, list(zip(*rows)) if rows else [[]] * 4)
 
-    result = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+    result = StructType(
+        [stored.schema["doc_id"], stored.schema["text"], stored.schema["rest"]]
+        + [StructField("removed", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())])))]
+    )
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left):
-            return result.empty_table()
         ids, raw = read(left)
         runs: list[list[tuple[int, int]]] = [[] for _ in raw]
         if len(right):
@@ -474,7 +479,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes
                 else:
                     own_runs.append((start, end))
         removed = [[{"start": a, "end": b} for a, b in r] for r in runs]
-        return pa.table([left.column("doc_id"), left.column("text"), pa.array(removed, result.field("removed").type)], schema=result)
+        return pa.table({"doc_id": left.column("doc_id"), "text": left.column("text"), "rest": left.column("rest"), "removed": pa.array(removed, spans_type)})
 
     def _replies(right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         entries = right.filter(pc.is_valid(right.column("owners"))) if "lo" in right.column_names else right
@@ -491,7 +496,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes
     opened = by_part(texts).cogroup(by_part(owners)).applyInArrow(send_open, _ddl(_OPEN))
     spans = common.written(opened.groupBy("range").applyInArrow(sort_open, _ddl(_SPANS)))
     replies = owners.unionByName(spans, allowMissingColumns=True)
-    return by_part(texts).cogroup(by_part(replies)).applyInArrow(apply, "doc_id long, text string, removed array<struct<start long, `end` long>>")
+    return by_part(stored).cogroup(by_part(replies)).applyInArrow(apply, result)
 
 
 def _within(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -538,7 +543,27 @@ def digest(spans: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return spans.mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return spans.select("doc_id", "text", "removed").mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents, repeated strings taken out of their texts; of a character that loses some of its bytes, the others go too.
+    n_chars, where there is one, follows. Documents that had a text and have none left go."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    spans = repeated_spans(docs, carry=others)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, runs = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            left = [kept(t, r).decode("utf-8", "ignore") if r else t for t, r in zip(texts, runs)]
+            stay = pa.array([bool(x) or not t for x, t in zip(left, texts)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string()), batch.column(2)], names=["doc_id", "text", "rest"]).filter(stay)
+
+    out = spans.mapInArrow(rows, StructType(spans.schema.fields[:3]))
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col("rest").getField(c) for c in others}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -301,6 +301,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> dict[str, np.
     return train([r.text or "" for r in rows], np.array([label[r.doc_id] for r in rows]))
 
 
+def _scored(m: dict | None, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+    """Score and number of windows of each text."""
+    found, group, held = [], [], 0
+    for k, text in enumerate(texts):
+        group.append(text or "")
+        held += len(group[-1])
+        if held > 1 << 18 or k == len(texts) - 1:
+            own = [features(t) for t in group] if m else []
+            logits = text_logits(m, own) if m else group
+            found += [x if m and len(f[0]) else np.full(1, -np.inf, np.float32) for x, f in zip(logits, own or group)]
+            group, held = [], 0
+    best = np.array([f.max() for f in found], np.float64)
+    return np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best, -500, 500))), 0.0), [len(f) for f in found]
+
+
 def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
     """doc_id, score, and n_windows: how many overlapping windows were scored."""
     spark = docs.sparkSession
@@ -309,25 +324,28 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)  # of fixed size
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for batch in batches:
-            texts, found = [t or "" for t in batch.column(1).to_pylist()], []
-            group, held = [], 0
-            for k, t in enumerate(texts):
-                group.append(t)
-                held += len(t)
-                if held > 1 << 18 or k == len(texts) - 1:
-                    own = [features(t) for t in group] if m else []
-                    logits = text_logits(m, own) if m else group
-                    found += [x if m and len(f[0]) else np.full(1, -np.inf, np.float32) for x, f in zip(logits, own or group)]
-                    group, held = [], 0
-            best = np.array([f.max() for f in found], np.float64)
-            value = np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best, -500, 500))), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value, pa.float64()), pa.array([len(f) for f in found], pa.int64())], names=["doc_id", "score", "n_windows"])
+            value, count = _scored(sent.value, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value, pa.float64()), pa.array(count, pa.int64())], names=["doc_id", "score", "n_windows"])
 
     return common.documents(docs).mapInArrow(rows, "doc_id long, score double, n_windows long")
 
 
+def harmless(docs: DataFrame, model: dict[str, np.ndarray] | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below the threshold, whole."""
+    spark = docs.sparkSession
+    common.ship(spark)
+    common.small_batches(spark)
+    sent, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(_scored(sent.value, batch.column(at).to_pylist())[0] < threshold))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def op4_recurrent_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = fit(docs.where(~common.held_out()), common.table(spark, sf_dir, "labels"))
