@@ -13,6 +13,11 @@ from pyspark.sql.types import ArrayType, MapType, StringType, StructField, Struc
 _TEMPLATES = ArrayType(StructType([StructField("named", MapType(StringType(), StringType())), StructField("positional", ArrayType(StringType()))]))
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def snake_case(c: Column) -> Column:
     """Lower case, possessive 's joined, other runs to one underscore."""
     joined = F.regexp_replace(F.lower(c), "['’]s\\b", "s")
@@ -22,7 +27,7 @@ def snake_case(c: Column) -> Column:
 def strip_markup(c: Column) -> Column:
     """Links to their labels; templates and quote marks go."""
     c = F.regexp_replace(c, r"\[\[([^\]|]*\|)?([^\]]*)\]\]", "$2")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\{\{[^}]*\}\}", ""), "'{2,3}", ""))
+    return strip(F.regexp_replace(F.regexp_replace(c, r"\{\{[^}]*\}\}", ""), "'{2,3}", ""))
 
 
 def strip_links(c: Column) -> Column:
@@ -35,23 +40,23 @@ def strip_plinks(c: Column) -> Column:
 
 
 def strip_refs(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?s)<ref[^>]*>.*?</ref>|<ref[^>]*/>|\{\{Refn\|[^}]*\}\}", ""))
+    return strip(F.regexp_replace(c, r"(?s)<ref[^>]*>.*?</ref>|<ref[^>]*/>|\{\{Refn\|[^}]*\}\}", ""))
 
 
 def clean_reference(c: Column, page: Column | None = None) -> Column:
     """The page's own name put in, then fragment and leftover templates cut."""
     if page is not None:
         c = F.replace(F.replace(c, F.lit("{{PAGENAME}}"), page), F.lit("{{PAGENAME"), page)
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "#.*$", ""), r"\{\{[^}]*\}\}?", ""))
+    return strip(F.regexp_replace(F.regexp_replace(c, "#.*$", ""), r"\{\{[^}]*\}\}?", ""))
 
 
 def slug(c: Column) -> Column:
-    return F.replace(F.trim(c), F.lit(" "), F.lit("_"))
+    return F.replace(strip(c), F.lit(" "), F.lit("_"))
 
 
 def intro(c: Column) -> Column:
     """What stands before the first heading."""
-    return F.trim(F.get(F.split(c, r"(?m)^==", 2), 0))
+    return strip(F.get(F.split(c, r"(?m)^==", 2), 0))
 
 
 def heading_depth(c: Column) -> Column:

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .markup import strip
+
 #: Words that count.
 NUMBER_WORDS = {"a": 1, "an": 1, "the": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
 
 
 def parse_int(c: Column) -> Column:
-    clean = F.regexp_replace(F.trim(c), "[,+%]", "")
+    clean = F.regexp_replace(strip(c), "[,+%]", "")
     return F.when(clean.rlike(r"^-?\d+$"), clean.try_cast("long"))
 
 
 def parse_xp(c: Column) -> Column:
-    clean = F.regexp_replace(F.trim(c), ",", "")
+    clean = F.regexp_replace(strip(c), ",", "")
     number = F.when(clean.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)$"), clean.try_cast("double"))
     return F.when(clean == "-1", F.lit(0.0)).otherwise(F.coalesce(number, F.lit(0.0)))
 
 
 def parse_ticks(c: Column) -> Column:
-    clean = F.replace(F.lower(F.trim(c)), F.lit(","))
+    clean = F.replace(F.lower(strip(c)), F.lit(","))
     return F.when(clean.rlike(r"^-?\d+$"), clean.try_cast("long"))
 
 
@@ -31,16 +33,16 @@ def first_digits(c: Column) -> Column:
 
 def parse_members(c: Column) -> Column:
     """Members only unless it says no."""
-    return F.when(F.lower(F.trim(c)) == "no", False).otherwise(True)
+    return F.when(F.lower(strip(c)) == "no", False).otherwise(True)
 
 
 def parse_flag(c: Column) -> Column:
-    low = F.lower(F.trim(c))
+    low = F.lower(strip(c))
     return F.when(low == "yes", True).when(low == "no", False)
 
 
 def parse_float(c: Column) -> Column:
-    return F.regexp_replace(F.trim(c), r"\s*kg$|,", "").try_cast("double")
+    return F.regexp_replace(strip(c), r"\s*kg$|,", "").try_cast("double")
 
 
 def parse_count(c: Column) -> Column:
@@ -76,4 +78,4 @@ def skills_mask(c: Column, members: dict[str, int], groups: dict[str, list[str]]
         for n in names:
             whole[group] |= members[n]
     pairs = F.create_map(*(F.lit(x) for kv in whole.items() for x in kv))
-    return F.aggregate(F.split(F.lower(c), ","), F.lit(0), lambda a, s: a.bitwiseOR(F.coalesce(F.try_element_at(pairs, F.trim(s)), F.lit(0))))
+    return F.aggregate(F.split(F.lower(c), ","), F.lit(0), lambda a, s: a.bitwiseOR(F.coalesce(F.try_element_at(pairs, strip(s)), F.lit(0))))
