@@ -35,6 +35,12 @@ SHINGLE = 5
 BLOCKS, BITS = 8, 8
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is evaluated once a row: it travels through a lambda's variable, so that no rewriting of
+    projections can put the whole expression in the place of each use."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def words(text: Column) -> Column:
     """Hashes of a text's words."""
     parts = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
@@ -42,21 +48,23 @@ def words(text: Column) -> Column:
 
 
 def shingles(hashes: Column, width: int) -> Column:
-    n = F.size(hashes)
-    return F.when(n >= width, F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(hashes, i, width)))).otherwise(F.array().cast("array<long>"))
+    none = F.array().cast("array<long>")
+    return once(hashes, lambda w: F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(F.slice(w, i, width)))).otherwise(none))
 
 
 def simhash(bag: Column) -> Column:
     """Each bit is what most of the bag's hashes have there. Counts of four bits share a long, in lanes of 16."""
-    lanes = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.aggregate(bag, F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftrightunsigned", h, j).bitwiseAND(F.lit(0x0001000100010001))))
-    half = F.size(bag)
+    shift = lambda x, n: F.call_function("shiftrightunsigned", x, n)
+
+    def lanes(own: Column) -> Column:
+        count = lambda j: F.aggregate(own, F.lit(0).cast("long"), lambda a, h: a + shift(h, j).bitwiseAND(F.lit(0x0001000100010001)))
+        return F.struct(F.size(own).alias("n"), F.transform(F.sequence(F.lit(0), F.lit(15)), count).alias("counts"))
 
-    def bits(counts: Column) -> Column:
-        one = lambda b: F.call_function("shiftrightunsigned", F.get(counts, b % 16), (F.floor(b / 16) * 16).cast("int")).bitwiseAND(F.lit(0xFFFF)) * 2 > half
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, b: F.when(one(b), a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(a))
+    def bits(s: Column) -> Column:
+        most = lambda b: shift(F.get(s["counts"], b % 16), (F.floor(b / 16) * 16).cast("int")).bitwiseAND(F.lit(0xFFFF)) * 2 > s["n"]
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, b: F.when(most(b), a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(a))
 
-    # One evaluation of the counts: the array travels through a lambda's variable.
-    return F.get(F.transform(F.array(lanes), bits), 0)
+    return once(once(bag, lanes), bits)
 
 
 def block(fingerprint: Column, j: Column | int) -> Column:
@@ -91,7 +99,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, radiu
     found = None
     base = source.select("doc_id", words(F.col("text")).alias("hashes"))
     for width in widths:
-        at = base.select("doc_id", shingles(F.col("hashes"), width).alias("all")).select("doc_id", "all", F.posexplode("all").alias("start", "shingle"))
+        at = base.select("doc_id", shingles(F.col("hashes"), width).alias("all")).select("doc_id", "all", F.posexplode_outer("all").alias("start", "shingle"))
+        # (The outer form, as the other one computes its array twice, once for a filter; the join drops its empty rows.)
         at = at.join(small(posted.where(F.col("width") == width).drop("width")), "shingle")
         at = at.select("doc_id", F.lit(width).alias("width"), "start", F.slice("all", F.col("start") + 1, F.lit(counted.longest)).alias("here"), F.explode("sizes").alias("size"))
         found = at if found is None else found.unionByName(at)
