@@ -34,30 +34,66 @@ class Rule:
 RULES = [
     Rule("quest_state", r"(?:if |when )?\{quest\} (?:is |has been |was )?(?P<state>not started|not completed|completed|complete|started|in progress)$", raw=True),
     Rule("quest_state", rf"{NEGATION}(?:has |have )?(?P<state>completed|complete|started|finished|start|finish) (?P<quest>\{{quest\}}|the quest)"),
+    Rule("quest_decision", r"(?:chose|chooses|decided|decides) to (?P<choice>.+?) (?:during|in) (?P<quest>\{quest\}|the quest)$"),
     Rule("diary_completed", rf"{NEGATION}(?:has |have )?completed (?:the )?(?P<tier>easy|medium|hard|elite)? ?(?P<place>[a-z ]+) diary"),
     Rule("skill_ge", rf"{NEGATION}(?:has |have )?(?:at least )?(?:level )?(?P<level>\d+)\+?(?: or (?:higher|more))? (?P<skill>\{{skill\}}|[a-z]+)(?: level)?$"),
     Rule("skill_ge", r"(?P<skill>\{skill\}) level is (?:at least )?(?P<level>\d+)"),
+    Rule("monster_skill_check", rf"{NEGATION}{POSSESS} (?:the )?required (?P<skill>\{{skill\}}|slayer) level"),
     Rule("combat_level", r"combat level (?:is )?(?:at least )?(?P<level>\d+)"),
     Rule("wearing_either", rf"{NEGATION}(?:is |are )?(?:wearing|wears|equipped) (?:an? |the )?(?P<item>\S+) or (?:an? |the )?(?P<other>\S+)$"),
     Rule("wearing", rf"{NEGATION}(?:is |are |has |have )?(?:wearing|wears|wear|equipped) (?:an? |the |any )?{THING}$"),
     Rule("has_coins", rf"{NEGATION}{POSSESS} (?:at least |enough )?(?P<count>\d[\d,]*)? ?(?:coins|gp)"),
+    Rule("currency_cap", r"(?:would (?:have|exceed)|has reached|is at) (?:more than )?(?:the )?(?:maximum|max|limit|cap)(?: of)? ?(?P<currency>\{currency\}|coins)?"),
     Rule("has_currency", rf"{NEGATION}{POSSESS} (?:at least |enough )?(?P<count>\d[\d,]*)? ?(?P<currency>\{{currency\}})"),
     Rule("has_all_items", rf"{NEGATION}{POSSESS} (?:all|both) (?:of )?(?:the )?{THING}$"),
     Rule("inventory_space", rf"{NEGATION}{POSSESS} (?:at least )?(?:{NUMBER} )?(?:free |empty |enough )(?:inventory )?(?:space|slot)s?"),
     Rule("inventory_space", r"(?:the player's |their )?inventory is (?P<state>full|not full)"),
-    Rule("has_item", rf"{NEGATION}{POSSESS} (?:{NUMBER} )?(?:of )?{THING}(?: in (?:their |the )?(?P<where>inventory|bank|possession))?$"),
     Rule("showing_item", rf"{NEGATION}show(?:s|ing|n)? (?:the |an? )?{THING}$"),
     Rule("has_read", rf"{NEGATION}(?:has |have )?read (?:the )?(?P<item>.+)$"),
+    Rule("received_reward", rf"{NEGATION}(?:has |have )?(?:received|claimed|collected|been given) (?:the |their |an? )?(?P<item>.+)$"),
+    Rule("reward_is", r"(?:the )?reward is (?:an? |the )?(?P<item>.+)$"),
+    Rule("patch_planted", rf"{NEGATION}(?:has |have )?planted (?:an? |the )?(?P<crop>.+)$"),
+    Rule("patch_grown", r"(?:the |their )?(?P<crop>crop|tree|plant|\{item\})s? (?:has|have|is|are) (?P<state>fully grown|grown|growing|dead|diseased)"),
     Rule("patch_state", r"(?:the )?patch is (?P<state>[a-z ]+)$"),
+    Rule("port_task", rf"{NEGATION}{POSSESS} (?:an? |the )?(?:active )?port task"),
+    Rule("has_rumour", rf"{NEGATION}{POSSESS} (?:an? |the )?(?:active )?rumour"),
+    Rule("task_progress", r"(?:has |have )?(?P<done>killed|caught|delivered|gathered) (?P<count>all|some|none|\d+)"),
+    Rule("all_completed", rf"{NEGATION}(?:has |have )?completed all (?:of )?(?:the )?(?P<what>.+)$"),
     Rule("has_assignment", rf"{NEGATION}{POSSESS} (?:an? |the )?(?:slayer )?(?:task|assignment)"),
+    Rule("password_check", r"(?:enters|entered|gives|gave) the (?P<verdict>correct|right|wrong|incorrect) password"),
+    Rule("puzzle_solved", rf"{NEGATION}(?:has |have )?(?:solved|completed) (?:the )?(?P<puzzle>.*puzzle.*)$"),
+    Rule("puzzle_answer", r"(?:the )?(?:solution|puzzle's answer) is (?P<answer>.+)$"),
+    Rule("answered_item", r"(?:answers?|answered) with (?:an? |the )?(?P<item>\{item\})$"),
+    Rule("dialogue_input", r"(?:enters|entered|types|typed) (?P<value>.+)$"),
     Rule("answered", r"(?:answers?|answered|says?|said|replies|replied) (?P<answer>.+)$"),
     Rule("has_talked_to", rf"{NEGATION}(?:has |have )?(?:talked|talks|spoken|spoke|speaks|talk) (?:to|with) (?P<npc>.+)$"),
+    Rule("talking_to", r"(?:is |are )?(?:talking|speaking) (?:to|with) (?P<npc>.+)$"),
+    Rule("npc_thought", r"(?:the )?(?P<npc>\{npc\}|\S+) (?:thinks|believes) (?P<thought>.+)$"),
+    Rule("npc_role", r"(?:the )?(?P<npc>\{npc\}) is (?:an? |the )?(?P<role>[a-z ]+)$"),
+    Rule("npc_at_location", r"(?:the )?(?P<npc>\{npc\}) is (?:in|at|near) (?P<place>.+)$"),
+    Rule("proximity_check", r"(?:is |are )?(?P<verdict>too far|close enough|within \d+ tiles)(?: (?:from|to|of) (?P<place>.+))?$"),
+    Rule("dialogue_state", r"(?:the )?(?:conversation|dialogue|chat) (?:is |was |has )?(?P<state>continued|repeated|ended|interrupted)"),
+    Rule("time_out", r"(?:takes too long|time runs out|timer (?:runs out|expires))"),
     Rule("location_at", rf"{NEGATION}(?:is |are )?(?:in|at|inside|near) (?P<place>\{{location\}}|[a-z' ]+)$"),
     Rule("member_only", rf"{NEGATION}(?:is |are )?(?:on )?(?:an? )?members?(?: world)?$"),
+    Rule("ironman_ultimate", rf"{NEGATION}(?:is |are )?(?:an? )?ultimate iron ?man"),
+    Rule("account_state", r"(?:account|bank pin) (?:is|has been) (?P<state>[a-z ]+)$"),
+    Rule("world_type", r"(?:is |are )?on an? (?P<kind>[a-z]+) world$"),
+    Rule("world_state", r"(?:the |an? )?(?P<thing>door|gate|lever|portal|boat|bridge|chest) is (?P<state>[a-z ]+)$"),
     Rule("ironman", rf"{NEGATION}(?:is |are )?(?:an? )?(?P<kind>ultimate |hardcore )?iron ?man"),
     Rule("gender", rf"{NEGATION}(?:is |are )?(?P<gender>male|female)$"),
     Rule("has_follower", rf"{NEGATION}{POSSESS} (?:an? |the )?(?:pet|follower|cat)"),
+    Rule("owns", rf"{NEGATION}(?:already )?owns? (?:an? |the )?(?P<thing>house|ship|boat|cat|kingdom)$"),
+    Rule("has_chosen", rf"{NEGATION}(?:has |have )?(?:chosen|selected|picked) (?P<choice>.+)$"),
+    Rule("needs_to_build", rf"{NEGATION}(?:needs?|has) to (?:build|repair|construct) (?:an? |the )?(?P<thing>.+)$"),
+    Rule("cast_count", r"(?:has |have )?cast (?:the )?(?P<spell>.+?) (?P<count>\d+) times?$"),
     Rule("in_combat", rf"{NEGATION}(?:is |are )?in combat"),
+    Rule("has_event_action", rf"{NEGATION}(?:has|have) (?P<action>[a-z]+ed)(?: (?P<object>.+))?$"),
+    Rule("has_item", rf"{NEGATION}{POSSESS} (?:{NUMBER} )?(?:of )?{THING}(?: in (?:their |the )?(?P<where>inventory|bank|possession))?$"),
+    Rule("outcome", r"(?P<outcome>succeeds?|fails?|wins?|loses?|dies|succeeded|failed|won|lost|died)(?: .*)?$"),
+    Rule("event_past_tense", r"(?P<action>[a-z]+ed) (?:the |an? )?(?P<object>.+)$"),
+    Rule("meta_predicate", r"(?:any|one|both|all|none) of the (?:above|following)"),
+    Rule("non_predicate", r"(?:see|note|continues?|same as) .*$"),
     Rule("event", r"(?P<event>first time|second time|subsequent|afterwards|otherwise|later).*$"),
 ]
 _COMPILED = [(r, re.compile(r.pattern)) for r in RULES]

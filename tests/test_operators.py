@@ -69,6 +69,8 @@ def test_conditions():
     assert read("the player has completed Cook's Assistant") == [("quest_state", {"quest": "{quest}", "state": "completed"})]
     assert [f for f, _ in read("the player is wearing a whip and has at least 1,000 coins")] == ["wearing", "has_coins"]
     assert read("the player is in Lumbridge") == [("location_at", {"place": "{location}"})]
+    frames = {"the player is on a PvP world": "world_type", "you've planted a herb": "patch_planted", "the door is locked": "world_state", "you have completed all the tasks": "all_completed", "you took": "unknown", "you have opened the chest": "has_event_action", "the player is too far from the bank": "proximity_check"}
+    assert {t: read(t)[0][0] for t in frames} == frames
     assert read("zzz qqq") == [("unknown", {"text": "zzz qqq"})]
 
 
