@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import conditions, dialogue, game, markup, numeric
-from gleanery.operators import graphs, joins, lookups, requirements, sequences, sinks, spatial
+from gleanery.operators import accounts, graphs, joins, lookups, requirements, sequences, sinks, spatial
 from gleanery.operators.base import table, with_point
 from gleanery.streaming import events as streams
 
@@ -369,6 +369,36 @@ def account_levels(spark, sf):
     return requirements.levels_after(gains, game.experience_table(spark).withColumnRenamed("xp", "needs"))
 
 
+_DONE = """with recursive a as (select o_custkey as account, o_orderkey % 500 as quest, o_orderkey as seq from orders where o_custkey < 40 and o_orderkey % 500 > 0),
+d as (select account, quest, seq from a union select account, quest // 2, seq from d where quest // 2 > 0),
+done as (select account, quest, min(seq) as "at" from d group by 1, 2)"""
+
+
+def _done(spark, sf):
+    quest = F.col("o_orderkey") % 500
+    actions = table(spark, sf, "orders").where("o_custkey < 40").select(F.col("o_custkey").alias("account"), quest.alias("quest"), F.col("o_orderkey").alias("seq")).where("quest > 0")
+    needs = spark.range(2, 500).select(F.col("id").alias("quest"), F.floor(F.col("id") / 2).cast("long").alias("required"))
+    return accounts.completed(actions, needs)
+
+
+@query(f"{_DONE} select account, quest, \"at\" from done")
+def account_quests(spark, sf):
+    return _done(spark, sf)
+
+
+@query(f"{_DONE} select account, sum(quest % 5)::bigint as points from done group by 1")
+def account_points(spark, sf):
+    return accounts.points(_done(spark, sf), spark.range(500).select(F.col("id").alias("quest"), (F.col("id") % 5).alias("points")))
+
+
+@query("""with f as (select o_custkey as account, o_orderkey % 7 as region, min(o_orderkey) as seq from orders where o_orderkey % 7 not in (0, 1) group by 1, 2),
+p as (select account, region, row_number() over (partition by account order by seq, region) as n from f)
+select account, region from p where n <= 2 union all select distinct o_custkey, unnest([0, 1]) from orders""")
+def account_regions(spark, sf):
+    actions = table(spark, sf, "orders").select(F.col("o_custkey").alias("account"), (F.col("o_orderkey") % 7).alias("region"), F.col("o_orderkey").alias("seq"))
+    return accounts.unlocked(actions, [0, 1], 2)
+
+
 # --- ordered rows ----------------------------------------------------------------------------------------------------
 
 
