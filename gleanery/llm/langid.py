@@ -179,7 +179,6 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
                         mixture[k] = {names[j]: float(share[j]) for j in np.flatnonzero(share > 0)}
 
             if names:
-                group: list[int] = []
                 for k, text in enumerate(texts):
                     logs_k = word_logs(text, table) if text else np.zeros((0, len(names)))
                     if len(logs_k):
