@@ -47,6 +47,19 @@ def _spread(edges: DataFrame, roots: DataFrame, limit: int | None) -> DataFrame:
     return seen
 
 
+def distances(edges: DataFrame, sources: DataFrame, limit: int) -> DataFrame:
+    """source, node, hops of all nodes within a number of steps of each source (a node by itself), all sources at once."""
+    seen = frontier = checkpointed(sources.toDF("node").distinct().select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")))
+    steps = edges.select(F.col("src").alias("node"), "dst").distinct()
+    for k in range(1, limit + 1):
+        met = frontier.join(steps, "node").select("source", F.col("dst").alias("node")).distinct()
+        frontier = checkpointed(met.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(k)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def dependency_levels(edges: DataFrame) -> DataFrame:
     """node, level: 0 for what depends on nothing, else one more than the deepest prerequisite (src needs dst). Nodes on a
     cycle, and what depends on them, have no level and are left out."""

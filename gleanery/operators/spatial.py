@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import components
@@ -93,6 +93,26 @@ def gates(walls: DataFrame, cells: DataFrame) -> DataFrame:
     return both.select("id", F.col("from").alias("src"), F.col("to").alias("dst")).unionByName(both.select("id", F.col("to").alias("src"), F.col("from").alias("dst")))
 
 
+def ports(cells: DataFrame, owned: DataFrame) -> DataFrame:
+    """Crossings between the areas of two owners: maximal straight runs of neighbouring free tiles of one component on either
+    side, with their middle tile. cells: x, y, component; owned: x, y, owner."""
+    here = cells.join(owned, ["x", "y"])
+    out = None
+    for dx, dy, along, across in ((1, 0, "y", "x"), (0, 1, "x", "y")):
+        there = here.select((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("component").alias("to"), F.col("owner").alias("other"))
+        met = here.join(there, ["x", "y"]).where("owner != other")
+        line = [F.least("owner", "other").alias("a"), F.greatest("owner", "other").alias("b")]
+        met = met.select(*line, "component", "to", "owner", F.col(across).alias("across"), F.col(along).alias("along"))
+        keys = ["a", "b", "owner", "component", "to", "across"]
+        w = Window.partitionBy(*keys).orderBy("along")
+        runs = met.withColumn("run", F.col("along") - F.row_number().over(w)).groupBy(*keys, "run").agg(F.min("along").alias("first"), F.max("along").alias("last"))
+        middle = F.floor((F.col("first") + F.col("last")) / 2).cast("int")
+        at = (F.col("across"), middle) if dx else (middle, F.col("across"))
+        found = runs.select("a", "b", "owner", "component", "to", at[0].alias("x"), at[1].alias("y"), (F.col("last") - F.col("first") + 1).alias("width"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def tile_runs(cells: DataFrame, size: int = 64) -> DataFrame:
     """Tiles of a region as one array row, empty regions left out."""
     region = [F.floor(F.col("x") / size).cast("long").alias("rx"), F.floor(F.col("y") / size).cast("long").alias("ry")]

@@ -515,6 +515,18 @@ def shortest_path(spark, sf):
     return graphs.shortest_paths(_roads(spark, sf), spark.range(1)).select("node", "cost")
 
 
+@query(f"""with recursive e as ({_ROADS}), c as (select * from (values (0::bigint, 0::bigint, 0), (5, 5, 0)) t(source, node, hops) union
+select c.source, e.dst, hops + 1 from c join e on e.src = c.node where hops < 4) select source, node, min(hops) as hops from c group by 1, 2""")
+def distances_from(spark, sf):
+    return graphs.distances(_roads(spark, sf), spark.createDataFrame([(0,), (5,)], "node long"), 4)
+
+
+@query()
+def area_ports(spark, sf):
+    cells = _tiles(spark, sf).select("x", "y", F.lit(1).cast("long").alias("component"))
+    return spatial.ports(cells, tile_owners(spark, sf))
+
+
 @query()
 def shortest_path_steps(spark, sf):
     return graphs.path_steps(graphs.shortest_paths(_roads(spark, sf), spark.range(1)), 24)

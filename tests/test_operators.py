@@ -148,6 +148,12 @@ def test_moves_match_the_rules(spark):
     assert one(spark, lambda c: spatial.decode_flags(c.cast("int"), F.lit(False)), "8225", "1") == [8225, 17]
 
 
+def test_ports_are_runs_on_the_border(spark):
+    cells = spark.createDataFrame([(x, y, 1) for x in range(4) for y in range(6) if (x, y) != (2, 3)], "x int, y int, component long")
+    owned = spark.createDataFrame([(x, y, 7 if x < 2 else 9) for x in range(4) for y in range(6)], "x int, y int, owner int")
+    assert sorted((r.x, r.y, r.width) for r in spatial.ports(cells, owned).collect()) == [(1, 1, 3), (1, 4, 2)]
+
+
 def test_joins_and_writes(spark):
     df = lambda rows, schema: spark.createDataFrame(rows, schema)
     old, new = df([(1, "a"), (None, "n")], "k int, v string"), df([(1, "x"), (2, "y"), (2, "z"), (None, "q")], "k int, v string")
