@@ -6,14 +6,15 @@ points by its upper corner and its smallest size, is passed over where that sum
 (3/7 of both sizes together, at 0.75). What survives is verified on the sets themselves.
 
 1. Documents of equal sets become one representative, by a digest of the set.
-2. Representatives are dealt to cells, one for each of KEYS independent minimum hashes of their shingles; a pair of similarity s misses
-   a given cell with probability 1 - s, and all of them with (1 - s) ** KEYS: below 1e-14 at 0.75.
-3. Each representative is verified against one partner: the first of its cells' smallest members by the number of shared
-   cells. That joins most copies of a text to one class.
+2. Representatives are dealt to cells, one for each of KEYS independent minimum hashes of their shingles. A pair of similarity s
+   shares each cell with probability s, so at 0.75 it shares fewer than NEED with a probability below 1e-8; pairs that share so few,
+   such as texts with one passage in common, go no further.
+3. Each representative is verified against one partner: the one of its cells' smallest members that it shares the most
+   cells with. That joins most copies of a text to one class.
 4. In cells with members of different classes, R-trees give all pairs of different classes whose bound holds, and all of these
-   are verified. Within a class nothing can change the classes, so nothing is tried.
+   that share NEED cells are verified. Within a class nothing can change the classes, so nothing is tried.
 
-Scale: texts are read where they lie; only representatives that share a cell have theirs moved. A cell with more
+Scale: texts are read where they lie; only representatives with NEED shared cells have theirs moved, once. A cell with more
 members than `cell_rows` (a passage in a third of all documents) is dealt by bands of size, of which only neighbours can
 link, and within bands by blocks, so no task has more than two blocks. No group's pairs are written out: pairs leave a task only past the
 bound, between classes. Classes are joined by distributed rounds.
@@ -39,7 +40,7 @@ from .suffixes import _mix, prefix_sums, span_hash
 U = np.uint64
 SHINGLE = 5
 GROUPS = 64
-KEYS = 24
+KEYS, NEED = 24, 5
 FANOUT = 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = np.zeros(256, bool)
@@ -117,8 +118,8 @@ class RTree:
         return self.order[at]
 
 
-def survivors(cell: np.ndarray, label: np.ndarray, side: np.ndarray, points: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers in one cell, of different labels (and of different sides, where there are two), that the
+def survivors(cell: np.ndarray, label: np.ndarray, side: np.ndarray, points: np.ndarray, similarity: int, two: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row numbers in one cell, of different labels (and of different sides, if there are two), that the
     bound allows. cell is sorted."""
     edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
     size = np.diff(np.append(edge, len(cell)))
@@ -132,6 +133,8 @@ def survivors(cell: np.ndarray, label: np.ndarray, side: np.ndarray, points: np.
         for k in range(0, len(first), step):
             a, b = (first[k : k + step, None] + i).ravel(), (first[k : k + step, None] + j).ravel()
             apart = label[a] != label[b]
+            if two:
+                apart &= side[a] != side[b]
             a, b = a[apart], b[apart]
             both = np.minimum(points[a], points[b]).sum(axis=1, dtype=np.int64)
             fits = both >= need * (total[a] + total[b]) - 1e-9
@@ -140,6 +143,8 @@ def survivors(cell: np.ndarray, label: np.ndarray, side: np.ndarray, points: np.
     for start, n in zip(edge[size > FANOUT].tolist(), size[size > FANOUT].tolist()):
         rows = np.arange(start, start + n)
         left, right = rows[side[rows] == 0], rows[side[rows] == 1]
+        if two and not (len(left) and len(right)):
+            continue
         tree, asked = (RTree(points[right], similarity), left) if len(right) else (RTree(points[left], similarity), left)
         held = right if len(right) else left
         for row in asked.tolist():
@@ -151,9 +156,7 @@ def survivors(cell: np.ndarray, label: np.ndarray, side: np.ndarray, points: np.
             b_out.append(met)
     if not a_out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(a_out), np.concatenate(b_out)
-    two = (side[a] != side[b]) | (side[a] == 0)
-    return a[two], b[two]
+    return np.concatenate(a_out), np.concatenate(b_out)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
@@ -205,13 +208,14 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, cell_rows: int = 2000
     postings = nodes.select("node", F.explode("keys").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("first")).where("members > 1")
     postings = common.written(postings.join(shared, "key"))
+    rich = postings.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= NEED).select("node")
+    postings = common.written(postings.join(rich, "node", "left_semi"))
 
     members = postings.select("node").distinct()
     texts = source.join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    # A doc_id may have several texts: each set has one row.
-    texts = common.written(texts.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")).distinct())
+    texts = common.written(texts.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")))
 
-    partner = postings.where("first < node").groupBy("node", "first").agg(F.count("*").alias("n"))
+    partner = postings.where("first < node").groupBy("node", "first").agg(F.count("*").alias("n")).where(F.col("n") >= NEED)
     partner = partner.groupBy("node").agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("b"))
     tried = partner.select(F.col("node").alias("a"), "b")
     links = common.written(verified(tried, texts, similarity))
@@ -222,7 +226,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, cell_rows: int = 2000
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     cells = labelled.join(mixed, "key").join(nodes.select("node", "point", "n_shingles"), "node")
     tasks = int(postings.count() // 100_000) + 1
-    calm = cells.where(F.col("members") <= cell_rows).select(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task"), "key", "node", "label", F.lit(0).alias("side"), "point")
+    calm = cells.where(F.col("members") <= cell_rows).select(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task"), "key", "node", "label", F.lit(0).alias("side"), F.lit(False).alias("two"), "point")
 
     # Crowded cells: bands of size (neighbours alone can link), cut into blocks; each pair of blocks is a task.
     crowd = cells.where(F.col("members") > cell_rows).withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / similarity))).cast("int"))
@@ -231,22 +235,23 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, cell_rows: int = 2000
     crowd = crowd.join(blocks.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below")), ["key", "band"], "left")
     crowd = crowd.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     up_to = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    place = lambda band, i, other, j, side: F.struct(F.xxhash64("key", band, i, other, j).alias("task"), side.cast("int").alias("side"))
-    inside = F.transform(up_to(F.col("blocks")), lambda j: place(F.col("band"), F.least("own", j), F.col("band"), F.greatest("own", j), F.col("own") > j))
-    higher = F.transform(up_to(F.col("above")), lambda j: place(F.col("band"), F.col("own"), F.col("band") + 1, j, F.lit(0)))
-    lower = F.transform(up_to(F.col("below")), lambda j: place(F.col("band") - 1, j, F.col("band"), F.col("own"), F.lit(1)))
-    crowd = crowd.withColumn("place", F.explode(F.concat(inside, higher, lower))).select("place.task", "key", "node", "label", "place.side", "point")
+    place = lambda band, i, other, j, side, two: F.struct(F.xxhash64("key", band, i, other, j).alias("task"), side.cast("int").alias("side"), two.alias("two"))
+    inside = F.transform(up_to(F.col("blocks")), lambda j: place(F.col("band"), F.least("own", j), F.col("band"), F.greatest("own", j), F.col("own") > j, F.col("own") != j))
+    higher = F.transform(up_to(F.col("above")), lambda j: place(F.col("band"), F.col("own"), F.col("band") + 1, j, F.lit(0), F.lit(True)))
+    lower = F.transform(up_to(F.col("below")), lambda j: place(F.col("band") - 1, j, F.col("band"), F.col("own"), F.lit(1), F.lit(True)))
+    crowd = crowd.withColumn("place", F.explode(F.concat(inside, higher, lower))).select("place.task", "key", "node", "label", "place.side", "place.two", "point")
 
     def pair_up(table: pa.Table) -> pa.Table:
         key = table.column("key").to_numpy()
         by = np.lexsort((table.column("node").to_numpy(), key))
         node, label, side = (table.column(c).to_numpy()[by] for c in ("node", "label", "side"))
         points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u4").reshape(-1, GROUPS)[by]
-        a, b = survivors(key[by], label, side, points, similarity)
-        pairs = np.unique(np.stack([np.maximum(node[a], node[b]), np.minimum(node[a], node[b])], axis=1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        a, b = survivors(key[by], label, side, points, similarity, table.column("two")[0].as_py())
+        pairs, n = np.unique(np.stack([np.maximum(node[a], node[b]), np.minimum(node[a], node[b])], axis=1), axis=0, return_counts=True)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64()), "n": pa.array(n, pa.int64())})
 
-    pairs = calm.unionByName(crowd).groupBy("task").applyInArrow(pair_up, "a long, b long").distinct()
+    pairs = calm.unionByName(crowd).groupBy("task").applyInArrow(pair_up, "a long, b long, n long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= NEED).select("a", "b")
     pairs = common.written(pairs.join(tried, ["a", "b"], "left_anti"))
     links = links.unionByName(verified(pairs, texts, similarity))
     classes = components(links).withColumnRenamed("node", "of")
