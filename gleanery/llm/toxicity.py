@@ -219,7 +219,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int | None = None, batch:
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.items()}
     step = 0
     for number in range(rounds):
-        if number:
+        if number % 2:  # scores serve two rounds
             scores = [x for a in range(0, len(data), 50) for x in text_logits(m, data[a : a + 50])]
         # Windows of this round: (document, start, label).
         chosen: list[tuple[int, int, float]] = []
