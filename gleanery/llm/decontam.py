@@ -14,7 +14,7 @@ window reaches `similarity`.
 3. Pairs within the radius are verified by exact similarity.
 
 Everything is DataFrame expressions. Scale: one pass over the documents with no shuffle of text; the items' shingles and
-blocks are broadcast up to `broadcast_items` items and shuffled beyond. What is shuffled is windows at shared shingles; pairs meet
+blocks (some 20 kB an item) are broadcast up to `broadcast_items` items and shuffled beyond. What is shuffled is windows at shared shingles; pairs meet
 by equality on (size, block, value) and are tried in the first block that fits only.
 
 Defined cases: null and empty texts and items without words leak nothing and aren't leaked; repeated items are items of their
@@ -79,7 +79,7 @@ def similarity_of(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, radius: int = 23, broadcast_items: int = 20_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, radius: int = 23, broadcast_items: int = 4000) -> DataFrame:
     """One row per document and item that it leaks: doc_id, item_id, window_start (word), similarity, of the best window."""
     source = common.documents(docs)
     known = words(F.col("text").cast("string"))
@@ -113,14 +113,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, radiu
 
     near = radius // BLOCKS
     flips = [sum(1 << b for b in some) for k in range(near + 1) for some in combinations(range(BITS), k)]
-    index = items.select("item_id", "number", "width", "size", F.col("bag").alias("item_bag"), F.col("fingerprint").alias("item_fingerprint"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    index = items.select("number", "width", "size", F.col("fingerprint").alias("item_fingerprint"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
     index = index.withColumn("flip", F.explode(F.array(*map(F.lit, flips)))).withColumn("value", block(F.col("item_fingerprint"), F.col("block")).bitwiseXOR(F.col("flip"))).drop("flip")
     pairs = windows.join(small(index), ["width", "size", "block", "value"])
     apart = F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))
     first = F.lit(True)
     for j in range(BLOCKS):
         first &= (F.col("block") <= j) | (F.bit_count(block(apart, j)) > near)
-    pairs = pairs.where((F.bit_count(apart) <= radius) & first)
+    pairs = pairs.where((F.bit_count(apart) <= radius) & first).drop("block", "value", "fingerprint", "item_fingerprint")
+    pairs = pairs.join(small(items.select("number", "item_id", F.col("bag").alias("item_bag"))), "number")
     pairs = pairs.withColumn("similarity", similarity_of(F.col("bag"), F.col("item_bag"))).where(F.col("similarity") >= similarity)
     best = F.max_by(F.struct("start", "similarity"), F.struct("similarity", -F.col("start")))
     out = pairs.groupBy("doc_id", "number", "item_id").agg(best.alias("best"))
