@@ -7,12 +7,14 @@ points by its upper corner and its smallest size, is passed over where that sum
 
 1. Documents of equal sets become one representative, by a digest of the set.
 2. Representatives are dealt to cells, one for each of KEYS independent minimum hashes of their shingles. A pair of similarity s
-   shares each cell with probability s, so at 0.75 it shares fewer than NEED with a probability below 1e-8; pairs that share so few,
+   shares each cell with probability s, so at 0.75 it shares fewer than NEED with a probability below 2e-8; pairs that share so few,
    such as texts with one passage in common, go no further.
-3. Each representative is verified against one partner: the one of its cells' smallest members that it shares the most
-   cells with. That joins most copies of a text to one class.
-4. In cells with members of different classes, R-trees give all pairs of different classes whose bound holds, and all of these
-   that share NEED cells are verified. Within a class nothing can change the classes, so nothing is tried.
+3. In each of ROUNDS rounds each representative is verified against one partner of another class: of its cells' first members (by
+   class, then by document or, later, by a hash that changes with the round) the one that it shares the most cells with.
+   That joins most copies of a text to one class.
+4. In cells with members of different classes, R-trees give all pairs of different classes whose bound holds; those that
+   share NEED cells, counted in the first cell that they share, are verified. Within a class nothing can change the classes, so
+   nothing is tried.
 
 Scale: texts are read where they lie; only representatives with NEED shared cells have theirs moved, once. A cell with more
 members than `cell_rows` (a passage in a third of all documents) is dealt by bands of size, of which only neighbours can
@@ -40,7 +42,9 @@ from .suffixes import _mix, prefix_sums, span_hash
 U = np.uint64
 SHINGLE = 5
 GROUPS = 64
-KEYS, NEED = 24, 5
+KEYS, NEED = 40, 14
+#: Rounds of one partner each before the trees.
+ROUNDS = 4
 FANOUT = 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = np.zeros(256, bool)
@@ -206,7 +210,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, cell_rows: int = 2000
     nodes = common.written(same)
 
     postings = nodes.select("node", F.explode("keys").alias("key"))
-    shared = postings.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("first")).where("members > 1")
+    shared = postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     postings = common.written(postings.join(shared, "key"))
     rich = postings.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= NEED).select("node")
     postings = common.written(postings.join(rich, "node", "left_semi"))
@@ -215,18 +219,36 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, cell_rows: int = 2000
     texts = source.join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     texts = common.written(texts.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")))
 
-    partner = postings.where("first < node").groupBy("node", "first").agg(F.count("*").alias("n")).where(F.col("n") >= NEED)
-    partner = partner.groupBy("node").agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("b"))
-    tried = partner.select(F.col("node").alias("a"), "b")
-    links = common.written(verified(tried, texts, similarity))
-    classes = common.written(components(links))
-
-    labelled = postings.join(classes, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component", "first")
+    links, tried, classes = None, None, None
+    for number in range(ROUNDS):
+        labelled = postings
+        if classes is None:
+            labelled = labelled.withColumn("label", F.col("node"))
+        else:
+            labelled = labelled.join(classes, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        labelled = common.written(labelled)
+        by = F.struct("label", F.xxhash64("node", F.lit(number)) if number else F.col("node"))
+        first = labelled.groupBy("key").agg(F.min_by(F.struct("node", "label"), by).alias("first")).select("key", F.col("first.node").alias("b"), F.col("first.label").alias("other"))
+        partner = labelled.join(first, "key").where("label != other").groupBy("node", "b").agg(F.count("*").alias("n")).where(F.col("n") >= NEED)
+        partner = partner.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"), "node", "n")
+        if tried is not None:
+            partner = partner.join(tried, ["a", "b"], "left_anti")
+        best = partner.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("n", -F.col("a"), -F.col("b"))).alias("p"))
+        now = common.written(best.select("p.a", "p.b").distinct())
+        tried = now if tried is None else tried.unionByName(now)
+        found = common.written(verified(now, texts, similarity))
+        links = found if links is None else links.unionByName(found)
+        if found.isEmpty():
+            break
+        classes = common.written(components(links))
+
+    labelled = postings
+    labelled = labelled.join(classes, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component") if classes is not None else labelled.withColumn("label", F.col("node"))
     labelled = common.written(labelled)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    cells = labelled.join(mixed, "key").join(nodes.select("node", "point", "n_shingles"), "node")
+    cells = labelled.join(mixed, "key").join(nodes.select("node", "point", "keys", "n_shingles"), "node")
     tasks = int(postings.count() // 100_000) + 1
-    calm = cells.where(F.col("members") <= cell_rows).select(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task"), "key", "node", "label", F.lit(0).alias("side"), F.lit(False).alias("two"), "point")
+    calm = cells.where(F.col("members") <= cell_rows).select(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task"), "key", "node", "label", F.lit(0).alias("side"), F.lit(False).alias("two"), "point", "keys")
 
     # Crowded cells: bands of size (neighbours alone can link), cut into blocks; each pair of blocks is a task.
     crowd = cells.where(F.col("members") > cell_rows).withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / similarity))).cast("int"))
@@ -239,19 +261,26 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, cell_rows: int = 2000
     inside = F.transform(up_to(F.col("blocks")), lambda j: place(F.col("band"), F.least("own", j), F.col("band"), F.greatest("own", j), F.col("own") > j, F.col("own") != j))
     higher = F.transform(up_to(F.col("above")), lambda j: place(F.col("band"), F.col("own"), F.col("band") + 1, j, F.lit(0), F.lit(True)))
     lower = F.transform(up_to(F.col("below")), lambda j: place(F.col("band") - 1, j, F.col("band"), F.col("own"), F.lit(1), F.lit(True)))
-    crowd = crowd.withColumn("place", F.explode(F.concat(inside, higher, lower))).select("place.task", "key", "node", "label", "place.side", "place.two", "point")
+    crowd = crowd.withColumn("place", F.explode(F.concat(inside, higher, lower))).select("place.task", "key", "node", "label", "place.side", "place.two", "point", "keys")
 
     def pair_up(table: pa.Table) -> pa.Table:
         key = table.column("key").to_numpy()
         by = np.lexsort((table.column("node").to_numpy(), key))
         node, label, side = (table.column(c).to_numpy()[by] for c in ("node", "label", "side"))
         points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u4").reshape(-1, GROUPS)[by]
-        a, b = survivors(key[by], label, side, points, similarity, table.column("two")[0].as_py())
-        pairs, n = np.unique(np.stack([np.maximum(node[a], node[b]), np.minimum(node[a], node[b])], axis=1), axis=0, return_counts=True)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64()), "n": pa.array(n, pa.int64())})
-
-    pairs = calm.unionByName(crowd).groupBy("task").applyInArrow(pair_up, "a long, b long, n long")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= NEED).select("a", "b")
+        all_keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, KEYS)[by]
+        key = key[by]
+        a, b = survivors(key, label, side, points, similarity, table.column("two")[0].as_py())
+        # A pair comes up in every cell that it shares; it's taken in the first of them, if they are enough.
+        keep = np.zeros(len(a), bool)
+        for at in range(0, len(a), 100_000):
+            i, j = a[at : at + 100_000], b[at : at + 100_000]
+            both = all_keys[i] == all_keys[j]
+            keep[at : at + 100_000] = (both.sum(axis=1) >= NEED) & (all_keys[i, both.argmax(axis=1)] == key[i])
+        a, b = a[keep], b[keep]
+        return pa.table({"a": pa.array(np.maximum(node[a], node[b]), pa.int64()), "b": pa.array(np.minimum(node[a], node[b]), pa.int64())})
+
+    pairs = calm.unionByName(crowd).groupBy("task").applyInArrow(pair_up, "a long, b long").distinct()
     pairs = common.written(pairs.join(tried, ["a", "b"], "left_anti"))
     links = links.unionByName(verified(pairs, texts, similarity))
     classes = components(links).withColumnRenamed("node", "of")
