@@ -513,8 +513,17 @@ _BIPARTITE = "select distinct l_suppkey as src, l_partkey + 1000000 as dst from
 @query(f"""with recursive b as (select src, dst from ({_BIPARTITE}) union select dst, src from ({_BIPARTITE})),
 c as (select src as node, src as root from b union select b.dst, c.root from c join b on b.src = c.node) select node, min(root) as component from c group by 1""")
 def components(spark, sf):
-    lines = table(spark, sf, "lineitem").where("l_orderkey % 97 = 0").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst"))
-    return graphs.components(lines)
+    return graphs.components(_bipartite(table(spark, sf, "lineitem").where("l_orderkey % 97 = 0")))
+
+
+@query()
+def components_whole(spark, sf):
+    """components over every supplier-part edge; its SQL thins them out."""
+    return graphs.components(_bipartite(table(spark, sf, "lineitem")))
+
+
+def _bipartite(lines):
+    return lines.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst"))
 
 
 _ROADS = """select n_nationkey::bigint as src, ((n_nationkey * 7 + 3) % 25)::bigint as dst, (n_nationkey % 5 + 1)::bigint as weight from nation union all

@@ -27,3 +27,24 @@ def test_quests_and_points_of_every_account(spark, sf_dir):
     for a, q in done:
         points[a] = points.get(a, 0) + q % 5
     assert run(spark, sf_dir, "account_points_whole", "account", "points") == sorted(points.items())
+
+
+def test_components_over_every_edge(spark, sf_dir):
+    top = {}
+
+    def find(n):
+        while top.setdefault(n, n) != n:
+            n = top[n]
+        return n
+
+    for s, p in rows(sf_dir, "lineitem", "l_suppkey", "l_partkey"):
+        a, b = find(s), find(p + 1000000)
+        top[max(a, b)] = min(a, b)
+    assert run(spark, sf_dir, "components_whole", "node", "component") == sorted((n, find(n)) for n in top)
+
+
+def test_components_that_few_edges_join(spark, tmp_path):
+    lines = [(1, 1, 1), (2, 2, 1), (3, 2, 2), (97, 3, 3), (98, 4, 3), (99, 5, 4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (1000001, 1), (1000002, 1), (1000003, 3), (1000004, 5)]
+    assert run(spark, tmp_path, "components_whole", "node", "component") == want
