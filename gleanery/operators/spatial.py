@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .base import checkpointed
 from .graphs import components
 
 #: Bits of a tile's flags.
@@ -120,10 +121,31 @@ def tile_runs(cells: DataFrame, size: int = 64) -> DataFrame:
     return cells.groupBy(*region).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(place.alias("place"), F.col("component"))))).alias("cells"))
 
 
-def owners(tiles: DataFrame, points: DataFrame, small: int = 10_000) -> DataFrame:
-    """Nearest point by Euclidean distance for every tile; ties to the smaller id. Points are broadcast up to a size."""
-    if points.limit(small + 1).count() > small:
-        raise ValueError("too many points to send to every task; split the map by world first")
+def owners(tiles: DataFrame, points: DataFrame, small: int = 10_000, cell: int = 64) -> DataFrame:
+    """Nearest point by Euclidean distance for every tile; ties to the smaller id. Of points in one place only the smallest id
+    can own a tile. Up to `small` places are broadcast; more are searched by rings of grid cells, as in joins.nearest."""
+    points = points.toDF("owner", "px", "py").groupBy("px", "py").agg(F.min("owner").alias("owner"))
     square = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2
-    met = tiles.crossJoin(F.broadcast(points.toDF("owner", "px", "py")))
-    return met.groupBy("x", "y").agg(F.min_by("owner", F.struct(square, "owner")).alias("owner"))
+    best = F.min(F.struct(square.alias("square"), "owner")).alias("hit")
+    if points.limit(small + 1).count() <= small:
+        return tiles.crossJoin(F.broadcast(points)).groupBy("x", "y").agg(best).select("x", "y", "hit.owner")
+    at = lambda c: F.floor(F.col(c) / cell).cast("long")
+    points = checkpointed(points)
+    grid = points.withColumn("cx", at("px")).withColumn("cy", at("py"))
+    span = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).crossJoin(tiles.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"))).first()
+    if span[4] is None:
+        return tiles.select("x", "y", F.lit(None).cast(points.schema["owner"].dataType).alias("owner"))
+    widest = int(max(max(span[1], span[5]) - min(span[0], span[4]), max(span[3], span[7]) - min(span[2], span[6])) // cell + 2)
+    open_, done, ring = checkpointed(tiles.select("x", "y").distinct()), None, 1
+    while True:
+        r = min(ring, widest)
+        around = F.sequence(F.lit(-r), F.lit(r))
+        asked = open_.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+        asked = asked.withColumn("cx", at("x") + F.col("dx")).withColumn("cy", at("y") + F.col("dy"))
+        met = asked.join(grid, ["cx", "cy"]).groupBy("x", "y").agg(best)
+        settled = checkpointed(met.where((F.col("hit.square") <= (r * cell) ** 2) | F.lit(r >= widest)).select("x", "y", "hit.owner"))
+        done = settled if done is None else done.unionByName(settled)
+        open_ = checkpointed(open_.join(settled, ["x", "y"], "left_anti"))
+        if r >= widest or open_.isEmpty():
+            return done
+        ring *= 2

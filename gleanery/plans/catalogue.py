@@ -550,7 +550,7 @@ def distances_from(spark, sf):
 @query()
 def area_ports(spark, sf):
     cells = _tiles(spark, sf).select("x", "y", F.lit(1).cast("long").alias("component"))
-    return spatial.ports(cells, tile_owners(spark, sf))
+    return spatial.ports(cells, _owned(spark, sf))
 
 
 @query()
@@ -590,10 +590,14 @@ def walkable_components(spark, sf):
 _OWNERS = f"select x, y, s_suppkey as owner from (select x, y, s_suppkey, row_number() over (partition by x, y order by (x - px) * (x - px) + (y - py) * (y - py), s_suppkey) as r from {_TILES} , (select s_suppkey, s_suppkey * 7 % 40 as px, s_suppkey * 11 % 40 as py from supplier where s_suppkey < 30)) where r = 1"
 
 
+def _owned(spark, sf, only="true"):
+    points = table(spark, sf, "supplier").where(only).select("s_suppkey", (F.col("s_suppkey") * 7 % 40).alias("px"), (F.col("s_suppkey") * 11 % 40).alias("py"))
+    return spatial.owners(_tiles(spark, sf).select("x", "y"), points)
+
+
 @query(_OWNERS)
 def tile_owners(spark, sf):
-    points = table(spark, sf, "supplier").where("s_suppkey < 30").select("s_suppkey", (F.col("s_suppkey") * 7 % 40).alias("px"), (F.col("s_suppkey") * 11 % 40).alias("py"))
-    return spatial.owners(_tiles(spark, sf).select("x", "y"), points)
+    return _owned(spark, sf, "s_suppkey < 30")
 
 
 @query(f"with o as ({_OWNERS}) select distinct least(a.owner, b.owner) as a, greatest(a.owner, b.owner) as b from o a join o b on abs(a.x - b.x) + abs(a.y - b.y) = 1 and a.owner <> b.owner")
@@ -601,6 +605,17 @@ def component_borders(spark, sf):
     return spatial.component_borders(tile_owners(spark, sf).withColumnRenamed("owner", "component"))
 
 
+@query()
+def tile_owners_whole(spark, sf):
+    """tile_owners among all suppliers; its SQL names the first 30 only."""
+    return _owned(spark, sf)
+
+
+@query()
+def component_borders_whole(spark, sf):
+    return spatial.component_borders(_owned(spark, sf).withColumnRenamed("owner", "component"))
+
+
 # --- scalar functions ------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 import pyarrow.parquet as pq
 
+from gleanery.operators import spatial
 from gleanery.plans import catalogue
 
 
@@ -48,3 +49,31 @@ def test_components_that_few_edges_join(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     want = [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (1000001, 1), (1000002, 1), (1000003, 3), (1000004, 5)]
     assert run(spark, tmp_path, "components_whole", "node", "component") == want
+
+
+def owned(tiles, points):
+    return {(x, y): min(((x - px) ** 2 + (y - py) ** 2, k) for k, px, py in points)[1] for x, y in tiles}
+
+
+def borders(owner):
+    met = [(k, owner.get(n)) for (x, y), k in owner.items() for n in ((x + 1, y), (x, y + 1))]
+    return sorted({(min(p), max(p)) for p in met if p[1] is not None and p[0] != p[1]})
+
+
+def test_tiles_of_all_suppliers(spark, tmp_path):
+    spark.range(60).select("id").withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    owner = owned([(n % 40, n // 40) for n in range(1600)], [(k, k * 7 % 40, k * 11 % 40) for k in range(60)])
+    assert max(owner.values()) >= 30
+    assert run(spark, tmp_path, "tile_owners_whole", "x", "y", "owner") == sorted((*t, k) for t, k in owner.items())
+    assert run(spark, tmp_path, "component_borders_whole", "a", "b") == borders(owner)
+    ports = run(spark, tmp_path, "area_ports", "a", "b", "width")
+    assert sorted({p[:2] for p in ports}) == borders(owner)
+
+
+def test_owners_beyond_the_broadcast_size(spark):
+    points = [(k, k * 37 % 211, k * 53 % 97) for k in range(50)] + [(90, 37, 53)]
+    tiles = [(x, y) for x in range(-30, 300, 7) for y in range(0, 120, 11)]
+    made = spark.createDataFrame(tiles, "x long, y long"), spark.createDataFrame(points, "k long, x long, y long")
+    for options in ({}, {"small": 5, "cell": 8}):
+        got = {(r.x, r.y): r.owner for r in spatial.owners(*made, **options).collect()}
+        assert got == owned(tiles, points)
