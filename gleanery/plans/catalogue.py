@@ -657,10 +657,10 @@ def coordinates(spark, sf):
     s = lambda c: c.cast("string")
     one = F.concat(F.lit("{{Map|x = "), s(key), F.lit("|y="), s(size), F.lit("|1111,2222}}"))
     two = F.concat(F.lit("{{Map|x:"), s(key), F.lit(",y:"), s(size), F.lit("|x:"), s(size), F.lit(",y:"), s(key), F.lit("}}"))
-    bare = F.concat(F.lit("{{Map|"), s(key + 1000), F.lit(","), s(size + 1000), F.lit("}}"))
+    bare = F.concat(F.lit("{{Map|"), s(key % 90000 + 1000), F.lit(","), s(size + 1000), F.lit("}}"))
     text = F.when(key % 3 == 0, one).when(key % 3 == 1, two).otherwise(bare)
     pairs = F.array_join(F.transform(numeric.coordinates(text), lambda p: F.concat(s(p["x"]), F.lit(":"), s(p["y"]))), ";")
-    return table(spark, sf, "part").where("p_partkey < 90000").select("p_partkey", pairs.alias("pairs"))
+    return table(spark, sf, "part").select("p_partkey", pairs.alias("pairs"))
 
 
 @query("""select c_custkey, floor((d + h + p // 2) / 4.0::double + greatest(13 / 40.0::double * (a + s), 13 / 40.0::double * (3 * r // 2), 13 / 40.0::double * (3 * m // 2)))::int as level from

@@ -77,3 +77,10 @@ def test_owners_beyond_the_broadcast_size(spark):
     for options in ({}, {"small": 5, "cell": 8}):
         got = {(r.x, r.y): r.owner for r in spatial.owners(*made, **options).collect()}
         assert got == owned(tiles, points)
+
+
+def test_coordinates_of_every_part(spark, tmp_path):
+    keys = [0, 1, 2, 89_999, 90_000, 90_001, 90_002, 1_000_001]
+    spark.createDataFrame([(k, 7) for k in keys], "p_partkey long, p_size long").write.parquet(str(tmp_path / "part.parquet"))
+    want = {k: [f"{k}:7", f"{k}:7;7:{k}", f"{k % 90000 + 1000}:1007"][k % 3] for k in keys}
+    assert run(spark, tmp_path, "coordinates", "p_partkey", "pairs") == sorted(want.items())
