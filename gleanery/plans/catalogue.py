@@ -179,7 +179,17 @@ def distinct_order_hidden(spark, sf):
 (select l_orderkey, l_returnflag, l_linestatus, l_linenumber from lineitem where l_quantity > 45) b
 on a.l_orderkey = b.l_orderkey and a.l_returnflag = b.l_returnflag and a.l_linestatus = b.l_linestatus and a.l_linenumber <> b.l_linenumber""")
 def self_pair_residual(spark, sf):
-    lines = table(spark, sf, "lineitem").where("l_quantity > 45").withColumnRenamed("l_linenumber", "line")
+    return _line_pairs(table(spark, sf, "lineitem").where("l_quantity > 45"))
+
+
+@query()
+def self_pair_residual_whole(spark, sf):
+    """self_pair_residual over all lines; its SQL keeps the large ones."""
+    return _line_pairs(table(spark, sf, "lineitem"))
+
+
+def _line_pairs(lines):
+    lines = lines.withColumnRenamed("l_linenumber", "line")
     pairs = joins.paired_sides(lines.select("l_orderkey", "l_returnflag", "l_linestatus", "line"), ["l_orderkey", "l_returnflag", "l_linestatus"], "line")
     return pairs.select("l_orderkey", "line", "other_line")
 

@@ -84,3 +84,11 @@ def test_coordinates_of_every_part(spark, tmp_path):
     spark.createDataFrame([(k, 7) for k in keys], "p_partkey long, p_size long").write.parquet(str(tmp_path / "part.parquet"))
     want = {k: [f"{k}:7", f"{k}:7;7:{k}", f"{k % 90000 + 1000}:1007"][k % 3] for k in keys}
     assert run(spark, tmp_path, "coordinates", "p_partkey", "pairs") == sorted(want.items())
+
+
+def test_pairs_of_all_lines(spark, sf_dir):
+    groups = {}
+    for order, flag, status, line in rows(sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber"):
+        groups.setdefault((order, flag, status), []).append(line)
+    want = sorted((k[0], a, b) for k, lines in groups.items() for a in lines for b in lines if a != b)
+    assert run(spark, sf_dir, "self_pair_residual_whole", "l_orderkey", "line", "other_line") == want
