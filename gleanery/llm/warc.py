@@ -111,7 +111,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                     f = fields or {}
                     page, url = f.get("X-Page-Id", ""), f.get("WARC-Target-URI")
                     html = None if fields is None or "X-Null-Block" in f else block.decode("utf-8", "replace")
-                    out.append((name, number, start, end, whole, sound, int(page) if re.fullmatch(r"-?\d{1,18}", page) else None, None if url is None else decode(url), html))
+                    out.append((name, number, start, end, whole, sound, _long(page), None if url is None else decode(url), html))
                     if len(out) == 256:
                         yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*out), schema)], schema=schema)
                         out = []
@@ -121,6 +121,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return files.select(segment.alias("segment"), "content").mapInArrow(rows, "segment string, number long, start long, `end` long, sha256 string, sound boolean, page_id long, url string, html string")
 
 
+def _long(said: str) -> int | None:
+    """A whole number that fits 64 bits, else null."""
+    return int(said) if re.fullmatch(r"-?[0-9]{1,19}", said) and -(1 << 63) <= int(said) < 1 << 63 else None
+
+
 def _framed(fields: dict[str, str] | None, block: bytes) -> bytes:
     """What a record's digest covers: its header fields and its block."""
     if fields is None:
@@ -163,6 +168,19 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     return out
 
 
+def audited(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Each record of either replica (rows of read_archive) with its place, whether it's sound and the same in both, and the
+    segment's root. Place, hash and root are those of a; of a record that only b holds, those of b."""
+    trees = [common.written(tree(r)) for r in (a, b)]
+    damaged = common.written(audit(*trees).where("level = 0").select("segment", F.col("node").alias("number"), F.lit(False).alias("equal"), "start_a"))
+    only_b = damaged.where("start_a is null").select("segment", "number", "equal")
+    roots = [t.where(F.col("level") == LEVELS).select("segment", F.col("hash").alias("root")) for t in trees]
+    one = a.join(damaged.drop("start_a"), ["segment", "number"], "left").join(roots[0], "segment")
+    two = b.join(only_b, ["segment", "number"]).join(roots[1], "segment")
+    out = lambda d: d.select("page_id", "segment", "number", "start", "end", "sha256", (F.col("sound") & F.coalesce("equal", F.lit(True))).alias("intact"), "root")
+    return out(one).unionByName(out(two))
+
+
 def op8_merkle_audit(spark, sf_dir: str) -> DataFrame:
     """Two replicas of all pages are written, read back and audited: each record with its place, and whether it's intact."""
     pages = common.table(spark, sf_dir, "pages")
@@ -172,8 +190,4 @@ def op8_merkle_audit(spark, sf_dir: str) -> DataFrame:
     for replica in ("a", "b"):
         write_archive(pages, f"{place}/{replica}")
         records.append(common.written(read_archive(spark, f"{place}/{replica}").drop("url", "html")))
-    trees = [common.written(tree(r)) for r in records]
-    damaged = audit(*trees).where("level = 0").select("segment", F.col("node").alias("number"), F.lit(False).alias("equal"))
-    root = trees[0].where(F.col("level") == LEVELS).select("segment", F.col("hash").alias("root"))
-    out = records[0].join(damaged, ["segment", "number"], "left").join(root, "segment")
-    return out.select("page_id", "segment", "number", "start", "end", "sha256", (F.col("sound") & F.coalesce("equal", F.lit(True))).alias("intact"), "root")
+    return audited(*records)

@@ -87,3 +87,18 @@ def test_query(spark, sf_dir):
     rows = warc.op8_merkle_audit(spark, sf_dir).collect()
     assert sorted(r.page_id for r in rows) == sorted(r.page_id for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect())
     assert all(r.intact for r in rows)
+
+
+def test_page_ids_of_64_bits(spark, tmp_path):
+    ids = [1234567890123456789, 2**63 - 1, -(2**63), -1, 10**18]
+    warc.write_archive(spark.createDataFrame([(k, "u", "h") for k in ids], "page_id long, url string, html string"), str(tmp_path / "a"))
+    assert sorted(r.page_id for r in warc.read_archive(spark, str(tmp_path / "a")).collect()) == sorted(ids)
+
+
+def test_records_of_either_replica_are_reported(spark, tmp_path):
+    html = [f"<p>{k}</p>" for k in range(6)]
+    for replica, texts in (("a", html[:5]), ("b", [*html[:2], "<p>x</p>", *html[3:]])):
+        rows = spark.createDataFrame([(k, "u", t) for k, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1)
+        warc.write_archive(rows, str(tmp_path / replica))
+    got = warc.audited(*(warc.read_archive(spark, str(tmp_path / r)) for r in "ab")).collect()
+    assert sorted((r.page_id, r.intact) for r in got) == [(0, True), (1, True), (2, False), (3, True), (4, True), (5, False)]
