@@ -14,7 +14,7 @@ points by its upper corner and its smallest size, is passed over where that sum
    That joins most copies of a text to one class.
 4. In cells with members of different classes, R-trees give all pairs of different classes whose bound holds; those that
    share NEED cells, counted in the first cell that they share, are verified. Within a class nothing can change the classes, so
-   nothing is tried.
+   nothing is tried: the join gives classes only, neither links nor their number.
 
 Scale: texts are read where they lie; only representatives with NEED shared cells have theirs moved, once. A cell with more
 members than `cell_rows` (a passage in a third of all documents) is dealt by bands of size, of which only neighbours can
