@@ -114,6 +114,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch holds, in rows and in bytes: texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Bound what one Arrow batch holds, in rows and in bytes, where the session says nothing of it: texts can be long."""
+    said = spark.conf.getAll
+    for key, value in (("maxRecordsPerBatch", str(rows)), ("maxBytesPerBatch", str(8 << 20))):
+        if f"spark.sql.execution.arrow.{key}" not in said:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)

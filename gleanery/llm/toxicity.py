@@ -8,17 +8,21 @@ Training knows documents' labels, not which window earns them: it starts from em
 the log-odds of documents that hold the feature, and in each round takes from every toxic document its best-scored
 windows, and from every other document its best-scored and some further ones, all by the model so far.
 
-Scale: training uses a bounded sample of labelled rows (`sample` toxic ones and twice as
-many others, the first by a hash of doc_id), on the
-driver, and gives a model of fixed size, which is broadcast. Scoring is one pass with no shuffle; windows go through in batches of bounded
-size, so a very long text needs memory for its words only.
-
-Defined cases: null texts are empty; a text without words is harmless, score 0; without a learnable row of both classes every
-score is 0; a null doc_id isn't learned from; repeated rows are scored alike; empty tables give no rows; other columns are ignored.
+Scale: training uses a bounded sample of labelled rows (`sample` toxic ones and twice as many others, the first by a hash
+of doc_id, of at most `sample_letters` letters a class: a text that doesn't fit what is left is passed over), in one
+executor task, and gives a model of fixed size, which is broadcast. Scoring is one pass with no shuffle; a very long text goes through in
+pieces of PIECE letters whose windows are those of the whole text, so memory is bounded whatever its length.
+
+Defined cases: null texts are empty; a text without words is harmless, score 0 and no windows; without a learnable row of both classes
+every score is 0; a null doc_id isn't learned from; of several learnable rows of one doc_id the largest text is learned from, with the
+largest label; a word of more than LONGEST_WORD letters is several words; repeated rows are scored alike; empty tables give no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +37,9 @@ DIM, HIDDEN, ATTEND = 8, 10, 10
 #: Words of a window, and between the starts of neighbours.
 WINDOW, STRIDE = 48, 24
 THRESHOLD = 0.3
+#: Letters of a text that are read at once, and letters of a word; a piece holds a window at least.
+PIECE, LONGEST_WORD = 1 << 17, 1 << 11
+_BETWEEN = re.compile(r"[\W_]{2,}")
 
 _in_word: np.ndarray | None = None
 
@@ -52,15 +59,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each word, classes of the grams around each letter (letters x 3; GRAMS: none), and where each word's letters begin."""
-    code = np.frombuffer((" " + text.lower() + "    ").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+def _features(lowered: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """features() of a text in lower case, and where each of its letters is."""
+    code = np.frombuffer((" " + lowered + "    ").encode("utf-32-le", "surrogatepass"), dtype="<u4")
     letter = _word_letters()[code]
     code = np.where(letter, code, 0).astype(np.uint32)
     at = np.flatnonzero(letter)
     if not at.size:
-        return np.zeros(0, np.int32), np.zeros((0, 3), np.int32), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros((0, 3), np.int32), np.zeros(0, np.int64), at
     start = np.flatnonzero(~letter[at - 1])
+    place = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
+    start = np.flatnonzero(place % LONGEST_WORD == 0)
+    place %= LONGEST_WORD
     h = code[at - 1] * np.uint32(0x9E3779B1) + code[at] * np.uint32(0x85EBCA77) + code[at + 1] * np.uint32(0xC2B2AE3D)
     grams = np.full((len(at), 3), GRAMS, np.int32)
     grams[:, 0] = _mix(h) % np.uint32(GRAMS)
@@ -70,9 +80,33 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = h * np.uint32(31) + code[at + 3] * np.uint32(0x165667B1) + np.uint32(1)
     more &= letter[at + 2]
     grams[more, 2] = (_mix(h) % np.uint32(GRAMS))[more]
-    place = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
     words = np.add.reduceat(_mix(code[at] + place.astype(np.uint32) * np.uint32(0x9E3779B1)), start, dtype=np.uint32)
-    return (_mix(words) % np.uint32(WORDS)).astype(np.int32), grams, start
+    return (_mix(words) % np.uint32(WORDS)).astype(np.int32), grams, start, at - 1
+
+
+def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each word, classes of the grams around each letter (letters x 3; GRAMS: none), and where each word's letters begin."""
+    return _features(text.lower())[:3]
+
+
+def pieces(text: str) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Features of a text's pieces, and where in each its windows start: together the windows of the whole text. None without words."""
+    text = text.lower()
+    if len(text) > PIECE:
+        text = _BETWEEN.sub(" ", text)
+    at = 0
+    while True:
+        last = at + PIECE >= len(text)
+        words, grams, start, place = _features(text[at : at + PIECE])
+        if last:
+            # What is left after the first piece is covered already up to the overlap.
+            starts = np.arange(0, len(words) - STRIDE, STRIDE) if at else windows(len(words))
+            if len(words) and len(starts):
+                yield (words, grams, start), starts
+            return
+        starts = np.arange(0, len(words) - WINDOW, STRIDE)  # the last word may go on in the next piece
+        yield (words, grams, start), starts
+        at += int(place[start[int(starts[-1]) + STRIDE]])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -174,14 +208,15 @@ def windows(n: int) -> np.ndarray:
     return np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE) if n > WINDOW else np.zeros(1, np.int64)
 
 
-def text_logits(m: dict, data: list[tuple], batch: int = 1024) -> list[np.ndarray]:
-    """Logits of all overlapping windows of each text, given its features; what neighbours share is computed once."""
+def text_logits(m: dict, data: list[tuple], batch: int = 1024, starts: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """Logits of windows of each text, given its features; what neighbours share is computed once. starts: of the windows; all of the
+    text's overlapping ones, if not given."""
     parts = [inputs(m, *d) for d in data]
     size = np.array([len(x) for x in parts])
     x = np.concatenate([*parts, np.zeros((1, 2 * DIM), np.float32)])
     af, ab = x @ m["xf"] + m["cf"], x @ m["xb"] + m["cb"]
     base = np.cumsum(size) - size
-    starts = [windows(n) for n in size]
+    starts = starts or [windows(n) for n in size]
     count = np.array([len(s) for s in starts])
     begin, end = np.concatenate([s + b for s, b in zip(starts, base)]), np.repeat(base + size, count)
     out = np.zeros(len(begin), np.float32)
@@ -207,12 +242,27 @@ def _log_odds(seen: list[np.ndarray], toxic: np.ndarray, classes: int) -> np.nda
     return np.clip(odds * held / (held + 4), -3, 3) * (held > 0)
 
 
+def gathered(texts: list[str]) -> list[tuple]:
+    """Features of texts, as views of three arrays."""
+    texts = [t.lower() for t in texts]
+    room = sum(map(len, texts))
+    words, grams, start = np.empty(room, np.int32), np.empty((room, 3), np.int32), np.empty(room, np.int32)
+    out, w, g = [], 0, 0
+    for k, t in enumerate(texts):
+        own = _features(t)
+        n, letters = len(own[0]), len(own[1])
+        words[w : w + n], grams[g : g + letters], start[w : w + n] = own[:3]
+        out.append((words[w : w + n], grams[g : g + letters], start[w : w + n]))
+        w, g, texts[k] = w + n, g + letters, ""
+    return out
+
+
 def train(texts: list[str], toxic: np.ndarray, rounds: int | None = None, batch: int = 128, rate: float = 6e-3, seed: int = 11) -> dict[str, np.ndarray]:
     """The model learned from texts and their labels; rounds over few texts are more."""
     rounds = rounds or int(np.clip(12_000 // max(1, len(texts)), 6, 16))
     rng = np.random.default_rng(seed)
     m = new_model(seed)
-    data = [features(t) for t in texts]
+    data = gathered(texts)
     m["word"][:, 0] = _log_odds([d[0] for d in data], toxic, WORDS)
     m["gram"][:GRAMS, 0] = _log_odds([d[1][d[1] < GRAMS] for d in data], toxic, GRAMS)
     m["xf"][0] = np.abs(m["xf"][0])
@@ -267,53 +317,82 @@ def _update(m: dict, state: dict, data: list, some: list[tuple[int, int, float]]
     y = np.array([label for _, _, label in some], np.float32)
     g, dx = backward(m, mask, kept, (_sigmoid(logit) - y) / len(some))
     dflat = dx[mask > 0]
+    words_met, words_at = np.unique(words, return_inverse=True)
+    grams_met, grams_at = np.unique(grams, return_inverse=True)
     if len(words):
-        g["word"] = np.zeros_like(m["word"])
-        np.add.at(g["word"], words, dflat[:, :DIM])
+        g["word"] = np.zeros((len(words_met), DIM), np.float32)
+        np.add.at(g["word"], words_at, dflat[:, :DIM])
         per = np.diff(np.append(start, len(grams)))
         dgram = np.repeat(dflat[:, DIM:] / np.sqrt(per)[:, None], per, axis=0).astype(np.float32)
-        g["gram"] = np.zeros_like(m["gram"])
-        for j in range(3):
-            np.add.at(g["gram"], grams[:, j], dgram)
-        g["gram"][GRAMS] = 0
-    words_met, grams_met = np.unique(words), np.unique(grams)
+        g["gram"] = np.zeros((len(grams_met), DIM), np.float32)
+        for own in grams_at.reshape(grams.shape).T:
+            np.add.at(g["gram"], own, dgram)
+        g["gram"][grams_met == GRAMS] = 0
     for k, grad in g.items():
         one, two = state[k]
         rows = {"word": words_met, "gram": grams_met}.get(k, slice(None))
-        grad = np.clip(grad[rows], -1, 1)
+        grad = np.clip(grad, -1, 1)
         one[rows] = 0.9 * one[rows] + 0.1 * grad
         two[rows] = 0.999 * two[rows] + 0.001 * grad * grad
         m[k][rows] -= (rate * (one[rows] / (1 - 0.9**step)) / (np.sqrt(two[rows] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> dict[str, np.ndarray] | None:
-    """The model, from at most `sample` toxic documents and twice as many others, or None without both. docs: rows that may be learned from."""
+def _packed(model: dict[str, np.ndarray]) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **model)
+    return out.getvalue()
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, sample_letters: int = 12 << 20) -> dict[str, np.ndarray] | None:
+    """The model, from at most `sample` toxic documents and twice as many others, or None without both. docs: rows that may be learned from.
+    sample_letters: of the texts of either class together."""
+    common.ship(docs.sparkSession)
+    common.small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    drawn = []
-    for y in (0, 1):
-        drawn += [(r.doc_id, y) for r in known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample * (2 - y)).collect()]
-    if len({y for _, y in drawn}) < 2:
-        return None
-    label = dict(drawn)
-    wanted = docs.sparkSession.createDataFrame(drawn, "doc_id long, toxic int")  # 3 x sample rows at most
-    rows = common.documents(docs).join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")).orderBy("doc_id").collect()
-    return train([r.text or "" for r in rows], np.array([label[r.doc_id] for r in rows]))
-
-
-def _scored(m: dict | None, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", F.xxhash64("doc_id").alias("draw"))
+    drawn = [known.where(F.col("toxic") == y).orderBy("draw", "doc_id").limit(sample * (2 - y)) for y in (0, 1)]
+    wanted = common.written(drawn[0].unionByName(drawn[1]))
+    rows = common.documents(docs).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic", "draw").agg(F.max("text").alias("text"))  # 3 x sample rows at most
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, room = [], [sample_letters] * 2
+        for batch in batches:  # in the order of the draw
+            for doc, y, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text"))):
+                if len(text or "") <= room[y]:
+                    room[y] -= len(text or "")
+                    own.append((doc, y, text or ""))
+        own.sort()
+        if len({y for _, y, _ in own}) == 2:
+            toxic = np.array([y for _, y, _ in own])
+            model = train([t for _, _, t in own], toxic)
+            yield pa.RecordBatch.from_arrays([pa.array([_packed(model)], pa.binary())], names=["model"])
+
+    found = rows.coalesce(1).sortWithinPartitions("draw", "doc_id").select("doc_id", "toxic", "text").mapInArrow(learn, "model binary").collect()  # one row of fixed size
+    return dict(np.load(io.BytesIO(found[0].model))) if found else None
+
+
+def _scored(m: dict | None, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Score and number of windows of each text."""
-    found, group, held = [], [], 0
-    for k, text in enumerate(texts):
-        group.append(text or "")
-        held += len(group[-1])
-        if held > 1 << 18 or k == len(texts) - 1:
-            own = [features(t) for t in group] if m else []
-            logits = text_logits(m, own) if m else group
-            found += [x if m and len(f[0]) else np.full(1, -np.inf, np.float32) for x, f in zip(logits, own or group)]
-            group, held = [], 0
-    best = np.array([f.max() for f in found], np.float64)
-    return np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best, -500, 500))), 0.0), [len(f) for f in found]
+    best, count = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64)
+    group: list[tuple[int, tuple, np.ndarray]] = []
+    held = 0
+
+    def through() -> None:
+        logits = text_logits(m, [d for _, d, _ in group], starts=[s for _, _, s in group]) if group else []
+        for (k, _, _), x in zip(group, logits):
+            best[k], count[k] = max(best[k], x.max()), count[k] + len(x)
+        group.clear()
+
+    for k, text in enumerate(texts if m else []):
+        for data, starts in pieces(text or ""):
+            group.append((k, data, starts))
+            held += len(data[1])
+            if held >= PIECE:
+                through()
+                held = 0
+    through()
+    return np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best, -500, 500))), 0.0), count
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:

@@ -62,6 +62,28 @@ def test_a_text_scores_as_its_best_window():
         assert np.allclose(alone[0], logit, atol=1e-4)
 
 
+@pytest.mark.parametrize("n", [20_000, 24_001, 24_024, 24_025, 24_048, 60_000])
+def test_pieces_have_the_windows_of_the_whole_text(n):
+    m, rng = toxicity.new_model(1), np.random.default_rng(n)
+    text = ",  ".join(f"Wörd{k}" for k in rng.integers(0, 999, n))
+    whole = toxicity.text_logits(m, [toxicity.features(text)])[0]
+    parts = [toxicity.text_logits(m, [d], starts=[s])[0] for d, s in toxicity.pieces(text)]
+    assert len(parts) > 1 and np.allclose(np.concatenate(parts), whole, atol=1e-5)
+
+
+def test_pieces_of_odd_texts():
+    assert not list(toxicity.pieces("")) and not list(toxicity.pieces(" " * 300_000))
+    assert sum(len(d[1]) for d, _ in toxicity.pieces("-" * 200_000 + "hello")) == 5
+    assert len(list(toxicity.pieces("x" * 500_000))) > 1
+
+
+def test_a_text_over_the_letters_of_the_sample_is_passed_over(spark):
+    docs = spark.createDataFrame([(1, "bad " * 50), (2, "good " * 50), (3, "bad " * 9000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels, sample_letters=1000) is not None
+    assert toxicity.fit(docs.where("doc_id <> 1"), labels, sample_letters=1000) is None
+
+
 def test_learns_a_word_and_defined_cases(spark):
     rng = np.random.default_rng(4)
     filler = [f"{a}{b}" for a in "bcdfgh" for b in "aeiou"]
@@ -82,4 +104,6 @@ def test_learns_a_word_and_defined_cases(spark):
 def test_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     rows = toxicity.op4_recurrent_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    hits, said, toxic = (sum(f(r) for r in rows) for f in (lambda r: r.predicted and r.toxic, lambda r: r.predicted, lambda r: r.toxic))
+    assert toxic > 80 and hits >= 0.9 * said and hits >= 0.8 * toxic
     assert sum(r.predicted == r.toxic for r in rows) >= 0.97 * len(rows)
