@@ -12,10 +12,13 @@ strings have equal landmarks, so a string can only repeat around a landmark that
    its smallest document. A context that a smaller document has whole is covered whole, and is decided.
 3. Of the rest, only contexts that share a landmark with different contexts can hold a repeat. One copy of each has the
    suffixes of its strings sorted with theirs; runs that agree for `window` bytes give the smallest document.
+4. A landmark of more than about `hot` places doesn't stay whole: its contexts are dealt by their own hashes, and their strings, each
+   sent once by a part, by theirs, so that only equal strings meet.
 
 Scale: the text is written once, bucketed by part, and then read in place; what is shuffled is arrays of
-hashes, one row for each pair of part and hash range. A part sends each landmark and context once, however often it holds them,
-so a passage in a third of all documents reaches its reducer once for each part. Nothing is held in the driver.
+hashes, one row for each pair of part and hash range (so raise part_bytes with the executors' memory on very large inputs). A part sends
+each landmark, context and hot string once, however often it holds them, so a passage in a third of all documents reaches its reducer once
+for each part, and no landmark is one task's. Nothing is held in the driver.
 
 Defined cases: null texts are empty; empty and short texts lose nothing; documents of equal or null doc_id never cover one
 another; repeated rows stay rows; empty tables give no rows; other columns are ignored.
@@ -100,11 +103,24 @@ def landmarks(data: np.ndarray, sums: np.ndarray, limit: np.ndarray, window: int
     return at, h[at]
 
 
-def scan(texts: list[bytes], window: int, gram: int) -> Iterator[tuple]:
-    """For bounded passes over the texts: text number, place in it, gram hash, context start and end in it, context
-    hash, and the pass's bytes with where in them each context starts."""
+def views(column: pa.ChunkedArray) -> list[memoryview]:
+    """The bytes of each string, where Arrow holds them. The column has no nulls."""
+    out: list[memoryview] = []
+    for chunk in column.chunks:
+        if len(chunk):
+            _, offsets, data = chunk.buffers()
+            edges = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(chunk.type) else np.int32)
+            edges = edges[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+            held = memoryview(data or b"")
+            out += [held[a:b] for a, b in zip(edges, edges[1:])]
+    return out
+
+
+def scan(texts: list, window: int, gram: int) -> Iterator[tuple]:
+    """For bounded passes over the texts (bytes or views of them): text number, place in it, gram hash, context start and end in it,
+    context hash, and the pass's bytes with where in them each context starts, and their prefix sums."""
     margin = 2 * window
-    group: list[tuple[int, int, bytes, int, int]] = []
+    group: list[tuple[int, int, memoryview, int, int]] = []
     held = 0
     for k, text in enumerate(texts):
         if len(text) < window:
@@ -123,7 +139,7 @@ def scan(texts: list[bytes], window: int, gram: int) -> Iterator[tuple]:
         yield _pass(group, window, gram)
 
 
-def _pass(group: list[tuple[int, int, bytes, int, int]], window: int, gram: int) -> tuple:
+def _pass(group: list[tuple[int, int, memoryview, int, int]], window: int, gram: int) -> tuple:
     raw = b"".join(g[2] for g in group)
     data = np.frombuffer(raw, np.uint8)
     size = np.array([len(g[2]) for g in group])
@@ -138,7 +154,17 @@ def _pass(group: list[tuple[int, int, bytes, int, int]], window: int, gram: int)
     at, h, own, shift = at[keep], h[keep], own[keep], shift[keep]
     lo, hi = np.maximum(begin[own], at - (window - gram)), np.minimum(end[own], at + window)
     context = _mix(span_hash(sums, lo, hi) + ((at - lo) << 8 | (hi - at)).astype(np.uint64))
-    return np.array([g[0] for g in group])[own], at + shift, h, lo + shift, hi + shift, context, raw, lo
+    return np.array([g[0] for g in group])[own], at + shift, h, lo + shift, hi + shift, context, data, lo, sums
+
+
+def strings_of(lo: np.ndarray, at: np.ndarray, hi: np.ndarray, sums: np.ndarray, window: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each place that a landmark can have in a string: that place, which contexts have such a string, and the strings' hashes.
+    lo, at, hi: a context's start, landmark and end among the bytes that sums is of."""
+    for back in range(window - gram + 1):
+        some = np.flatnonzero((at - back >= lo) & (at - back + window <= hi))
+        if some.size:
+            start = at[some] - back
+            yield back, some, _mix(span_hash(sums, start, start + window) + U(window))
 
 
 # --- sorted suffixes -------------------------------------------------------------------------------------------------
@@ -238,14 +264,13 @@ def order(raw: bytes, starts: np.ndarray, length: int, shallow: int = 16) -> tup
     return numbers, group
 
 
-def first_documents(contexts: list[bytes], left: np.ndarray, owner: np.ndarray, mark: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def first_documents(raw: bytes, size: np.ndarray, left: np.ndarray, owner: np.ndarray, mark: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each context, the span around its landmark (start <= 0 and end, relative; 0, 0 if none) that strings of smaller
-    owners cover. left: bytes before the landmark; mark: the landmark's hash, which contexts share."""
-    size = np.array([len(c) for c in contexts])
+    owners cover, and the smallest owner that a string of it has. raw: the contexts, one after another; left: bytes before the landmark;
+    mark: the landmark's hash, which contexts share."""
     base = np.cumsum(size) - size
-    raw = b"".join(contexts)
-    strings = np.minimum(size - window + 1, left + 1)  # those that begin at or before the landmark and end within the context
-    of = np.repeat(np.arange(len(contexts)), strings)
+    strings = np.clip(np.minimum(size - window + 1, left + 1), 0, None)  # those that begin at or before the landmark and end within the context
+    of = np.repeat(np.arange(len(size)), strings)
     back = left[of] - (np.arange(len(of)) - np.repeat(np.cumsum(strings) - strings, strings))
     keep = back <= window - gram
     of, back = of[keep], back[keep]
@@ -256,18 +281,18 @@ def first_documents(contexts: list[bytes], left: np.ndarray, owner: np.ndarray,
     _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
     more = np.flatnonzero(count[inverse] > 1)
     of, back, starts = of[more], back[more], starts[more]
-    lo, hi = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
+    lo, ends, first = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), owner.copy()
     if not len(of):
-        return lo, hi
+        return lo, ends, first
     numbers, run = order(raw, starts, window)
     least = np.minimum.reduceat(owner[of[numbers]], np.flatnonzero(np.diff(run, prepend=-1)))
+    np.minimum.at(first, of[numbers], least[run])
     covered = np.zeros(len(of), bool)
     covered[numbers] = least[run] < owner[of[numbers]]
     of, back = of[covered], back[covered]
     np.minimum.at(lo, of, -back)
-    ends = np.zeros(len(contexts), np.int64)
     np.maximum.at(ends, of, window - back)
-    return lo, ends
+    return lo, ends, first
 
 
 # --- parts and hash ranges -------------------------------------------------------------------------------------------
@@ -293,20 +318,40 @@ def _table(schema: pa.Schema, columns: list) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The spans of data that begin at start, one after another."""
+    return data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
 def _first_of(keys: list[np.ndarray], value: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct keys in order, each with its smallest value."""
+    return _first_rows(keys, value)[:2]
+
+
+def _schema(*binary: str) -> pa.Schema:
+    return pa.schema([("part", pa.int32()), ("range", pa.int32()), *((n, pa.binary()) for n in binary)])
+
+
+#: Arrays of equal length in each row. places: how many (see _places). many: in several documents of the part. state: 0, OPEN or HOT.
+_HASHES = _schema("marks", "places")
+_ENTRIES = _schema("marks", "contexts", "owners", "many", "state")
+_SENT = _schema("marks", "contexts", "owners", "left", "size", "hot", "raw")
+_SPANS = _schema("contexts", "lo", "hi", "strings", "least")
+OPEN, HOT = 1, 2
+#: In a byte: whether several documents have a mark, and the power of two that bounds the number of its places.
+_SEVERAL = 128
+
+
+def _first_rows(keys: list[np.ndarray], value: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct keys in order, each with its smallest value, and the row that has it."""
     by = np.lexsort((value, *keys[::-1]))
-    keys, value = [k[by] for k in keys], value[by]
     new = np.ones(len(by), bool)
     if len(by):
-        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    return [k[new] for k in keys], value[new]
+        new[1:] = np.any([k[by][1:] != k[by][:-1] for k in keys], axis=0)
+    by = by[new]
+    return [k[by] for k in keys], value[by], by
 
 
-_HASHES = pa.schema([("part", pa.int32()), ("range", pa.int32()), ("marks", pa.binary()), ("more", pa.binary())])
-_ENTRIES = pa.schema([("part", pa.int32()), ("range", pa.int32()), ("marks", pa.binary()), ("contexts", pa.binary()), ("owners", pa.binary()), ("open", pa.binary())])
-_OPEN = pa.schema([("part", pa.int32()), ("range", pa.int32()), ("marks", pa.binary()), ("contexts", pa.binary()), ("owners", pa.binary()), ("left", pa.binary()), ("size", pa.binary()), ("raw", pa.binary())])
-_SPANS = pa.schema([("part", pa.int32()), ("contexts", pa.binary()), ("lo", pa.binary()), ("hi", pa.binary())])
 _DDL = {"int32": "int", "binary": "binary", "int64": "long", "string": "string"}
 
 
@@ -314,7 +359,7 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {_DDL[str(f.type)]}" for f in schema)
 
 
-def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes: int = 8 << 20, carry: list[str] | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes: int = 8 << 20, carry: list[str] | None = None, hot: int = 20_000, pass_contexts: int = 8000) -> DataFrame:
     """One row per document: doc_id, text, rest (a struct of the columns named in carry), and removed: the start and end, in UTF-8 bytes, of its maximal runs of bytes
     that strings of `window` bytes cover which also start in a document with a smaller doc_id."""
     if not 8 <= gram <= window:
@@ -333,113 +378,143 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes
     stored = spark.table(name)
     texts = stored.select("doc_id", "text", "part")
 
-    def read(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+    def read(table: pa.Table) -> tuple[np.ndarray, list[memoryview]]:
         ids = table.column("doc_id").to_pylist()
-        return np.array([NULL_ID if i is None else i for i in ids], np.int64), [t.encode() for t in table.column("text").to_pylist()]
+        return np.array([NULL_ID if i is None else i for i in ids], np.int64), views(table.column("text"))
 
-    def ranged(part: int, schema: pa.Schema, sort_by: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
+    def ranged(part: int, schema: pa.Schema, sort_by: np.ndarray, columns: list[np.ndarray], blob: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> pa.Table:
+        """A row for each range. blob: data, starts and sizes of spans, the last column."""
         at = _ranges(sort_by, parts)
-        edges = np.searchsorted(at, np.arange(parts + 1))
+        by = np.argsort(at, kind="stable")
+        edges = np.searchsorted(at[by], np.arange(parts + 1))
         full = np.flatnonzero(edges[1:] > edges[:-1])
-        return _table(schema, [[part] * len(full), full, *([_blob(c[edges[r] : edges[r + 1]]) for r in full] for c in columns)])
+        rows = [by[edges[r] : edges[r + 1]] for r in full]
+        out = [[_blob(c[x]) for x in rows] for c in columns]
+        if blob:
+            out.append([_blob(_gather(blob[0], blob[1][x], blob[2][x])) for x in rows])
+        return _table(schema, [[part] * len(full), full, *out])
 
     def list_marks(table: pa.Table) -> pa.Table:
         ids, raw = read(table)
-        marks, own = [], []
+        marks, own, count = [], [], []
         for number, _, h, *_ in scan(raw, window, gram):
-            marks.append(h)
-            own.append(ids[number])
-        h, own = _joined(marks, np.uint64), _joined(own, np.int64)
-        (h, own), _ = _first_of([h, own], np.zeros(len(h), np.int8))
-        h, count = np.unique(h, return_counts=True)
-        return ranged(table.column("part")[0].as_py(), _HASHES, h, [h, count > 1])
+            by = np.lexsort((ids[number], h))
+            h, o = h[by], ids[number][by]
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])) if len(h) else np.zeros(0, np.int64)
+            marks.append(h[new])
+            own.append(o[new])
+            count.append(np.diff(np.append(new, len(h))))
+        h, own, count = _joined(marks, np.uint64), _joined(own, np.int64), _joined(count, np.int64)
+        kept, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        several = np.zeros(len(kept), bool)
+        several[inverse[own != own[first][inverse]]] = True
+        places = np.bincount(inverse, count, len(kept))
+        return ranged(table.column("part")[0].as_py(), _HASHES, kept, [kept, (np.ceil(np.log2(np.maximum(places, 1))) + _SEVERAL * several).astype(np.uint8)])
 
     def keep_repeated(table: pa.Table) -> pa.Table:
         marks = _arrays(table, "marks", np.uint64)
-        h, more = _joined(marks, np.uint64), _joined(_arrays(table, "more", bool), bool)
+        h, places = _joined(marks, np.uint64), _joined(_arrays(table, "places", np.uint8), np.uint8)
         kept, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
         here = count > 1
-        here[inverse[more]] = True
-        out = np.split(here[inverse], np.cumsum([len(m) for m in marks])[:-1])
-        rows = [(p, r, _blob(m[o]), b"") for p, r, m, o in zip(table.column("part").to_pylist(), table.column("range").to_pylist(), marks, out) if o.any()]
+        here[inverse[places >= _SEVERAL]] = True
+        crowded = np.bincount(inverse, np.exp2(places % _SEVERAL), len(kept)) > hot
+        sizes = np.cumsum([len(m) for m in marks])[:-1]
+        out, state = np.split(here[inverse], sizes), np.split(np.where(crowded, HOT, 0).astype(np.uint8)[inverse], sizes)
+        rows = [(p, r, _blob(m[o]), _blob(x[o])) for p, r, m, o, x in zip(table.column("part").to_pylist(), table.column("range").to_pylist(), marks, out, state) if o.any()]
         return _table(_HASHES, list(zip(*rows)) if rows else [[]] * 4)
 
     def list_contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return _table(_ENTRIES, [[]] * 6)
+            return _table(_ENTRIES, [[]] * 7)
         ids, raw = read(left)
-        repeated = np.sort(_joined(_arrays(right, "marks", np.uint64), np.uint64))
-        marks, contexts, own = [], [], []
+        repeated, state = _joined(_arrays(right, "marks", np.uint64), np.uint64), _joined(_arrays(right, "places", np.uint8), np.uint8)
+        by = np.argsort(repeated)
+        repeated, state = repeated[by], state[by]
+        marks, contexts, own, crowd = [], [], [], []
         for number, _, h, _, _, c, *_ in scan(raw, window, gram):
-            keep = _within(repeated, h)
+            k, keep = _find(repeated, h)
             marks.append(h[keep])
             contexts.append(c[keep])
             own.append(ids[number[keep]])
-        (h, c), own = _first_of([_joined(marks, np.uint64), _joined(contexts, np.uint64)], _joined(own, np.int64))
-        return ranged(left.column("part")[0].as_py(), _ENTRIES, h, [h, c, own, np.zeros(len(h), bool)])
+            crowd.append(state[k[keep]])
+        h, c, own, crowd = _joined(marks, np.uint64), _joined(contexts, np.uint64), _joined(own, np.int64), _joined(crowd, np.uint8)
+        by = np.lexsort((own, c, h))
+        h, c, own, crowd = h[by], c[by], own[by], crowd[by]
+        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])) if len(h) else np.zeros(0, np.int64)
+        many = own[new] != own[np.append(new[1:], len(h)) - 1] if len(h) else np.zeros(0, bool)
+        h, c, own, crowd = h[new], c[new], own[new], crowd[new]
+        return ranged(left.column("part")[0].as_py(), _ENTRIES, np.where(crowd == HOT, c, h), [h, c, own, many, crowd])
 
     def find_owners(table: pa.Table) -> pa.Table:
-        columns = [_arrays(table, n, t) for n, t in (("marks", np.uint64), ("contexts", np.uint64), ("owners", np.int64))]
-        h, c, own = (_joined(x, t) for x, t in zip(columns, (np.uint64, np.uint64, np.int64)))
+        kinds = (("marks", np.uint64), ("contexts", np.uint64), ("owners", np.int64), ("many", bool), ("state", np.uint8))
+        columns = [_arrays(table, n, t) for n, t in kinds]
+        h, c, own, many, state = (_joined(x, t) for x, (_, t) in zip(columns, kinds))
         (uh, uc), least = _first_of([h, c], own)
         _, inverse, count = np.unique(uh, return_inverse=True, return_counts=True)
-        several = count[inverse] > 1
         at = _pair_index(uh, uc, h, c)
+        least, others = least[at], (count[inverse] > 1)[at]
+        state = np.where(own == least, np.where(state == HOT, HOT, np.where(others, OPEN, 0)), 0).astype(np.uint8)
+        # Only what a part can use returns to it: an owner that covers something of it, or its own context that isn't decided.
+        useful = (least < own) | many | (state > 0)
         sizes = np.cumsum([len(x) for x in columns[0]])[:-1]
-        least, several = np.split(least[at], sizes), np.split(several[at] & (own == least[at]), sizes)
-        # Only what a part can use returns to it: a smaller document, or an owner's context that isn't decided.
         rows = []
-        for p, r, hh, cc, oo, ll, ss in zip(table.column("part").to_pylist(), table.column("range").to_pylist(), *columns, least, several):
-            rows.append((p, r, _blob(hh), _blob(cc), _blob(ll), _blob(ss)))
-        return _table(_ENTRIES, list(zip(*rows)) if rows else [[]] * 6)
+        for p, r, keep, *x in zip(table.column("part").to_pylist(), table.column("range").to_pylist(), *(np.split(a, sizes) for a in (useful, h, c, least, many, state))):
+            if keep.any():
+                rows.append((p, r, *(_blob(a[keep]) for a in x)))
+        return _table(_ENTRIES, list(zip(*rows)) if rows else [[]] * 7)
 
     def send_open(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return _table(_OPEN, [[]] * 8)
+            return _table(_SENT, [[]] * 9)
         ids, raw = read(left)
-        c, own, open_ = _replies(right)
-        sent, rows = set(), []
-        for number, at, h, lo, hi, context, data, start in scan(raw, window, gram):
+        c, own, state = _replies(right)
+        sent: list[list[np.ndarray]] = [[] for _ in range(7)]
+
+        def send(marks, keys, owner, before, size, crowd, data, start) -> None:
+            (keys, crowd), owner, first = _first_rows([keys, crowd], owner)
+            for held, x in zip(sent, (marks[first], keys, owner, before[first], size[first], crowd, _gather(data, start[first], size[first]))):
+                held.append(x)
+
+        for number, at, h, lo, hi, context, data, start, sums in scan(raw, window, gram):
             k, found = _find(c, context)
-            found &= open_[k] & (own[k] == ids[number])
-            for j in np.flatnonzero(found).tolist():
-                if (key := int(context[j])) not in sent:
-                    sent.add(key)
-                    a = int(start[j])
-                    rows.append((int(h[j]), key, int(ids[number[j]]), int(at[j] - lo[j]), data[a : a + int(hi[j] - lo[j])]))
-        rows.sort()
-        h = np.array([r[0] for r in rows], np.uint64)
-        at = _ranges(h, parts)
-        edges = np.searchsorted(at, np.arange(parts + 1))
-        part, out = left.column("part")[0].as_py(), []
-        for r in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-            some = rows[edges[r] : edges[r + 1]]
-            out.append((part, r, *(_blob(np.array([x[j] for x in some], t)) for j, t in ((0, np.uint64), (1, np.uint64), (2, np.int64), (3, np.int64))), _blob(np.array([len(x[4]) for x in some], np.int64)), b"".join(x[4] for x in some)))
-        return _table(_OPEN, list(zip(*out)) if out else [[]] * 8)
+            mine = found & (state[k] > 0) & (own[k] == ids[number])
+            some = np.flatnonzero(mine & (state[k] == OPEN))
+            if some.size:
+                send(h[some], context[some], ids[number[some]], (at - lo)[some], (hi - lo)[some], np.zeros(len(some), bool), data, start[some])
+            some = np.flatnonzero(mine & (state[k] == HOT))
+            if some.size:
+                a, z = start[some], (start + hi - lo)[some]
+                for back, which, strings in strings_of(a, a + (at - lo)[some], z, sums, window, gram):
+                    n = np.full(len(which), window)
+                    send(strings, strings, ids[number[some[which]]], np.full(len(which), back), n, np.ones(len(which), bool), data, a[which] + (at - lo)[some[which]] - back)
+        marks, keys, owner, before, size, crowd, held = (_joined(x, t) for x, t in zip(sent, (np.uint64, np.uint64, np.int64, np.int64, np.int64, bool, np.uint8)))
+        base = np.cumsum(size) - size
+        (keys, crowd), owner, first = _first_rows([keys, crowd], owner)
+        return ranged(left.column("part")[0].as_py(), _SENT, marks[first], [marks[first], keys, owner, before[first], size[first], crowd], (held, base[first], size[first]))
 
     def sort_open(table: pa.Table) -> pa.Table:
-        size = _joined(_arrays(table, "size", np.int64), np.int64)
-        raw = b"".join(table.column("raw").to_pylist())
-        ends = np.cumsum(size).tolist()
-        contexts = [raw[e - n : e] for e, n in zip(ends, size.tolist())]
-        h, c = (_joined(_arrays(table, n, np.uint64), np.uint64) for n in ("marks", "contexts"))
-        owners, left = (_joined(_arrays(table, n, np.int64), np.int64) for n in ("owners", "left"))
-        lo, hi = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        kinds = (("marks", np.uint64), ("contexts", np.uint64), ("owners", np.int64), ("left", np.int64), ("size", np.int64), ("hot", bool))
+        h, c, owners, before, size, crowd = (_joined(_arrays(table, n, t), t) for n, t in kinds)
+        raw = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.uint8)
+        base = np.cumsum(size) - size
+        lo, hi, least = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), owners.copy()
         by = np.argsort(h, kind="stable")
         h_sorted, at = h[by], 0
-        while at < len(by):  # whole landmarks, in passes of bounded size
-            to = min(len(by), at + 50_000)
+        while at < len(by):  # whole landmarks, in passes of bounded size: a landmark has `hot` places at most
+            to = min(len(by), at + pass_contexts)
             if to < len(by):
                 to = int(np.searchsorted(h_sorted, h_sorted[to - 1], side="right"))
             some = by[at:to]
-            lo[some], hi[some] = first_documents([contexts[k] for k in some.tolist()], left[some], owners[some], h[some], window, gram)
+            held = _gather(raw, base[some], size[some]).tobytes()
+            lo[some], hi[some], least[some] = first_documents(held, size[some], before[some], owners[some], h[some], window, gram)
             at = to
         part = np.repeat(np.array(table.column("part").to_pylist()), [len(x) for x in _arrays(table, "marks", np.uint64)])
         rows = []
-        for p in np.unique(part[hi > lo]).tolist():
-            mine = (part == p) & (hi > lo)
-            rows.append((p, _blob(c[mine]), _blob(lo[mine]), _blob(hi[mine])))
-        return _table(_SPANS, list(zip(*rows)) if rows else [[]] * 4)
+        for p in np.unique(part).tolist():
+            mine, strings = (part == p) & ~crowd & (hi > lo), (part == p) & crowd
+            if mine.any() or strings.any():
+                rows.append((p, 0, _blob(c[mine]), _blob(lo[mine]), _blob(hi[mine]), _blob(c[strings]), _blob(least[strings])))
+        return _table(_SPANS, list(zip(*rows)) if rows else [[]] * 7)
 
     result = StructType(
         [stored.schema["doc_id"], stored.schema["text"], stored.schema["rest"]]
@@ -451,25 +526,34 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes
         ids, raw = read(left)
         runs: list[list[tuple[int, int]]] = [[] for _ in raw]
         if len(right):
-            c, own, _ = _replies(right)
+            c, own, state = _replies(right)
             closed = right.filter(pc.is_valid(right.column("lo")))
-            sc = _joined(_arrays(closed, "contexts", np.uint64), np.uint64)
-            s_lo, s_hi = (_joined(_arrays(closed, n, np.int64), np.int64) for n in ("lo", "hi"))
-            by = np.argsort(sc)
-            sc, s_lo, s_hi = sc[by], s_lo[by], s_hi[by]
+            sc, s_lo, s_hi, strings, least = (_joined(_arrays(closed, n, t), t) for n, t in (("contexts", np.uint64), ("lo", np.int64), ("hi", np.int64), ("strings", np.uint64), ("least", np.int64)))
+            by, of = np.argsort(sc), np.argsort(strings)
+            sc, s_lo, s_hi, strings, least = sc[by], s_lo[by], s_hi[by], strings[of], least[of]
             numbers, starts, ends = [], [], []
-            for number, at, _, lo, hi, context, *_ in scan(raw, window, gram):
+            for number, at, _, lo, hi, context, _, start, sums in scan(raw, window, gram):
+                named = ids[number] != NULL_ID
                 k, found = _find(c, context)
-                whole = found & (own[k] < ids[number]) & (ids[number] != NULL_ID)
-                k, some = _find(sc, context)
-                some &= ~whole & found & (ids[number] != NULL_ID)
+                whole = found & (own[k] < ids[number]) & named
+                j, some = _find(sc, context)
+                some &= ~whole & found & named
                 a, b = np.where(whole, lo, 0), np.where(whole, hi, 0)
                 if some.any():
-                    a[some], b[some] = at[some] + s_lo[k[some]], at[some] + s_hi[k[some]]
+                    a[some], b[some] = at[some] + s_lo[j[some]], at[some] + s_hi[j[some]]
                 hit = whole | some
                 numbers.append(number[hit])
                 starts.append(a[hit])
                 ends.append(b[hit])
+                crowd = np.flatnonzero(found & ~whole & named & (state[k] == HOT))
+                if crowd.size:
+                    a = start[crowd]
+                    for back, which, keys in strings_of(a, a + (at - lo)[crowd], a + (hi - lo)[crowd], sums, window, gram):
+                        j, met = _find(strings, keys)
+                        which = crowd[which[met & (least[j] < ids[number[crowd[which]]])]]
+                        numbers.append(number[which])
+                        starts.append(at[which] - back)
+                        ends.append(at[which] - back + window)
             n, a, b = (_joined(x, np.int64) for x in (numbers, starts, ends))
             by = np.lexsort((a, n))
             for number, start, end in zip(n[by].tolist(), a[by].tolist(), b[by].tolist()):
@@ -483,26 +567,21 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes
 
     def _replies(right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         entries = right.filter(pc.is_valid(right.column("owners"))) if "lo" in right.column_names else right
-        c = _joined(_arrays(entries, "contexts", np.uint64), np.uint64)
-        own, open_ = _joined(_arrays(entries, "owners", np.int64), np.int64), _joined(_arrays(entries, "open", bool), bool)
+        c, own, state = (_joined(_arrays(entries, n, t), t) for n, t in (("contexts", np.uint64), ("owners", np.int64), ("state", np.uint8)))
         by = np.argsort(c)
-        return c[by], own[by], open_[by]
+        return c[by], own[by], state[by]
 
     by_part = lambda df: df.groupBy("part")
     listed = by_part(texts).applyInArrow(list_marks, _ddl(_HASHES))
-    repeated = common.written(listed.groupBy("range").applyInArrow(keep_repeated, _ddl(_HASHES)).select("part", "marks"))
+    repeated = common.written(listed.groupBy("range").applyInArrow(keep_repeated, _ddl(_HASHES)).select("part", "marks", "places"))
     entries = by_part(texts).cogroup(by_part(repeated)).applyInArrow(list_contexts, _ddl(_ENTRIES))
-    owners = common.written(entries.groupBy("range").applyInArrow(find_owners, _ddl(_ENTRIES)).select("part", "contexts", "owners", "open"))
-    opened = by_part(texts).cogroup(by_part(owners)).applyInArrow(send_open, _ddl(_OPEN))
-    spans = common.written(opened.groupBy("range").applyInArrow(sort_open, _ddl(_SPANS)))
+    owners = common.written(entries.groupBy("range").applyInArrow(find_owners, _ddl(_ENTRIES)).select("part", "contexts", "owners", "state"))
+    opened = by_part(texts).cogroup(by_part(owners)).applyInArrow(send_open, _ddl(_SENT))
+    spans = common.written(opened.groupBy("range").applyInArrow(sort_open, _ddl(_SPANS)).drop("range"))
     replies = owners.unionByName(spans, allowMissingColumns=True)
     return by_part(stored).cogroup(by_part(replies)).applyInArrow(apply, result)
 
 
-def _within(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return _find(sorted_, x)[1]
-
-
 def _find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each of x would be, kept inside the array, and whether it's there."""
     if not len(sorted_):

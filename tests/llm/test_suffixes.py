@@ -62,6 +62,20 @@ def test_matches_brute_force(spark, seed, alphabet, window, gram):
     check(spark, corpus(seed, 60, alphabet), window=window, gram=gram, part_bytes=1500)
 
 
+@pytest.mark.parametrize("seed,alphabet,window,gram", [(1, "abcdefgé", 12, 8), (2, "ab", 16, 10), (4, "xyz \n", 50, 26)])
+def test_crowded_landmarks_match_brute_force(spark, seed, alphabet, window, gram):
+    check(spark, corpus(seed, 60, alphabet), window=window, gram=gram, part_bytes=1500, hot=3, pass_contexts=5)
+
+
+@pytest.mark.parametrize("hot", [100, 20_000])
+def test_one_landmark_in_thousands_of_contexts(spark, hot):
+    rng = random.Random(5)
+    word = lambda k: "".join(rng.choice("abcdefghijklm") for _ in range(k))
+    core = word(30)
+    docs = [(k, word(rng.randint(0, 40)) + word(1) * rng.randint(0, 2) + core + word(rng.randint(0, 2)) + "tail of the passage" * rng.randint(0, 1) + word(20)) for k in range(3000)]
+    check(spark, docs, part_bytes=20_000, hot=hot, pass_contexts=100)
+
+
 def test_long_texts_are_read_whole(spark):
     rng = random.Random(9)
     big = "".join(rng.choice("abcdefghij ") for _ in range(2_300_000))
