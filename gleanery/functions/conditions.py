@@ -9,11 +9,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.cluster import ship
+
 from .numeric import NUMBER_WORDS
 
-#: Contractions and the second person, as written out.
-CONTRACTIONS = {"doesn't": "does not", "don't": "do not", "isn't": "is not", "aren't": "are not", "hasn't": "has not", "haven't": "have not", "didn't": "did not", "can't": "can not", "won't": "will not"}
-PERSON = {"you're": "the player is", "you are": "the player is", "you've": "the player has", "you": "the player"}
+#: Contractions and the second person, as written out, words that add nothing, and words that name no entity.
+CONTRACTIONS = {"doesn't": "does not", "don't": "do not", "didn't": "did not", "hasn't": "has not", "haven't": "have not", "isn't": "is not", "aren't": "are not", "won't": "will not", "can't": "cannot"}
+PERSON = {"you're": "the player is", "you've": "the player has", "your": "the player's", "you": "the player"}
+FILLERS = "still already now yet previously once just ever also finally then currently".split()
+NO_ENTITY = {"the player", "player character"} | set("""
+player you me we they them he she it us myself yourself themselves i
+below while above after before between beyond within under until since about next another this that with from your
+have will what been were said each make like just over such take than some well also back then good look come could made find here know want
+give most only tell very when much need long time help left right home keep last name turn move live work read lost part talk sure down gone done rest
+""".split())
+LEAST_NAME = 4
+_TYPED_LINK = re.compile(r"\[[^\]]+\]\((item|quest|npc|monster|location|equipment|shop|activity):(?:[^()]+|\([^)]*\))*\)")
 
 NEGATION = r"(?P<neg>(?:does|do|is|are|has|have|did) not )?"
 NUMBER = r"(?P<count>\d[\d,]*|" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + ")"
@@ -98,7 +109,7 @@ RULES = [
 ]
 _COMPILED = [(r, re.compile(r.pattern)) for r in RULES]
 _SUBJECT = re.compile(r"^(?:if |when |while |unless )?(?:the player(?:'s)? |player |they |he |she )?")
-_FILLER = re.compile(r"\b(?:already|currently|also|still|now|just) ")
+_FILLER = re.compile(rf"\b(?:{'|'.join(FILLERS)}) ")
 _SPLIT = re.compile(r" (?:and|but) (?!more\b|\d)|, (?:and |but )?(?=(?:has|have|is|are|does|do|did)\b)")
 
 
@@ -110,12 +121,15 @@ def slotted(text: str, names: dict[str, str]) -> str:
     return re.sub(pattern, lambda m: "{" + names[m[0]] + "}", text)
 
 
-def normalise(text: str, names: dict[str, str]) -> str:
-    t = re.sub(r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", r"\1", text).lower().replace("’", "'")
-    for table in (CONTRACTIONS, PERSON):
-        for short, long in table.items():
-            t = re.sub(rf"\b{re.escape(short)}\b", long, t)
-    t = slotted(t, names)
+def normalise(text: str, names: dict[str, str], currencies: tuple[str, ...] = (), skills: tuple[str, ...] = ()) -> str:
+    """Lower case, typed links, currencies, entity names and skills as slots, short forms written out, no closing marks."""
+    t = _TYPED_LINK.sub(lambda m: "{" + m[1] + "}", text)
+    t = re.sub(r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", r"\1", t).lower().replace("’", "'")
+    for short, long in (CONTRACTIONS | PERSON).items():
+        t = re.sub(rf"\b{re.escape(short)}\b", long, t)
+    known = {n: k for n, k in names.items() if len(n) >= LEAST_NAME and n not in NO_ENTITY}
+    for table in (dict.fromkeys(currencies, "currency"), known, dict.fromkeys(skills, "skill")):
+        t = slotted(t, table)
     return re.sub(r"\s+", " ", re.sub(r"[.,:;!?]+$", "", t.strip())).strip()
 
 
@@ -140,12 +154,13 @@ def atoms(text: str, unknown: bool = False) -> list[tuple[str, dict[str, str]]]:
     return found or ([("unknown", {"text": _SUBJECT.sub("", text)})] if unknown else [])
 
 
-def parse_conditions(df: DataFrame, key: str, text: str, names: dict[str, str], unknown: bool = True) -> DataFrame:
+def parse_conditions(df: DataFrame, key: str, text: str, names: dict[str, str], unknown: bool = True, currencies: tuple[str, ...] = (), skills: tuple[str, ...] = ()) -> DataFrame:
     """(key, frame, args) of each atom. names: lower-cased entity names to types, of a vocabulary's size."""
 
     def by_batch(batches):
         for batch in batches:
-            out = [(k, f, a) for k, t in zip(batch[key], batch[text]) for f, a in atoms(normalise(t or "", names), unknown)]
+            out = [(k, f, a) for k, t in zip(batch[key], batch[text]) for f, a in atoms(normalise(t or "", names, currencies, skills), unknown)]
             yield pd.DataFrame(out, columns=[key, "frame", "args"])
 
+    ship(df.sparkSession)
     return df.select(F.col(key).cast("long"), text).mapInPandas(by_batch, f"{key} long, frame string, args map<string,string>")

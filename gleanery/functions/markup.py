@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
+from gleanery.cluster import ship
+
 _TEMPLATES = ArrayType(StructType([StructField("named", MapType(StringType(), StringType())), StructField("positional", ArrayType(StringType()))]))
 
 
@@ -24,30 +26,65 @@ def snake_case(c: Column) -> Column:
     return F.trim(F.regexp_replace(joined, "[^a-z0-9]+", "_"), F.lit("_"))
 
 
+#: Leftover templates, quote marks, references, a fragment, and the page's own name in a page's text.
+LEFTOVER, QUOTES = r"\{\{[^}]*\}\}", "'{2,3}"
+REFERENCES = r"(?s)<ref[^>]*>.*?</ref>|<ref[^>]*/>|\{\{Refn\|[^}]*\}\}"
+FRAGMENT = "#.*$"
+OWN_NAME = ("{{PAGENAME}}", "{{PAGENAME")
+
+
+def _pairs(c: Column, opens: str, closes: str, kept) -> Column:
+    """What kept gives for the inside of every pair of marks, in its place; null, or marks that don't pair: as they were. Insides have no
+    second closing sign, so the innermost pair counts."""
+
+    def after(part: Column) -> Column:
+        inside = F.substring_index(part, closes, 1)
+        new = F.when(F.contains(part, F.lit(closes)) & ~F.contains(inside, F.lit(closes[0])), kept(inside))
+        return F.coalesce(F.concat(new, F.substr(part, F.char_length(inside) + len(closes) + 1)), F.concat(F.lit(opens), part))
+
+    parts = F.split(c, re.escape(opens))
+    return F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), after), ""))
+
+
+def _label(inside: Column) -> Column:
+    return F.substr(inside, F.instr(inside, "|") + 1)
+
+
+def _without(c: Column, *patterns: str) -> Column:
+    for p in patterns:
+        c = F.regexp_replace(c, p, "")
+    return c
+
+
 def strip_markup(c: Column) -> Column:
     """Links to their labels; templates and quote marks go."""
-    c = F.regexp_replace(c, r"\[\[([^\]|]*\|)?([^\]]*)\]\]", "$2")
-    return strip(F.regexp_replace(F.regexp_replace(c, r"\{\{[^}]*\}\}", ""), "'{2,3}", ""))
+    return strip(_without(_pairs(c, "[[", "]]", _label), LEFTOVER, QUOTES))
 
 
 def strip_links(c: Column) -> Column:
     """Links to their targets."""
-    return F.regexp_replace(c, r"\[\[([^\]|]*?)(?:\|[^\]]*?)?\]\]", "$1")
+    return _pairs(c, "[[", "]]", lambda inside: F.substring_index(inside, "|", 1))
 
 
 def strip_plinks(c: Column) -> Column:
-    return F.regexp_replace(c, r"\{\{[Pp]link\|([^}|]+)(?:\|[^}]*)?\}\}", "$1")
+    """Picture links to the name they show."""
+
+    def name(inside: Column) -> Column:
+        parts = F.split(inside, r"\|")
+        return F.when(F.lower(F.get(parts, 0)).eqNullSafe("plink") & (F.get(parts, 1) != ""), F.get(parts, 1))
+
+    return _pairs(c, "{{", "}}", name)
 
 
 def strip_refs(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?s)<ref[^>]*>.*?</ref>|<ref[^>]*/>|\{\{Refn\|[^}]*\}\}", ""))
+    return strip(_without(c, REFERENCES))
 
 
 def clean_reference(c: Column, page: Column | None = None) -> Column:
     """The page's own name put in, then fragment and leftover templates cut."""
-    if page is not None:
-        c = F.replace(F.replace(c, F.lit("{{PAGENAME}}"), page), F.lit("{{PAGENAME"), page)
-    return strip(F.regexp_replace(F.regexp_replace(c, "#.*$", ""), r"\{\{[^}]*\}\}?", ""))
+    for said in OWN_NAME if page is not None else ():
+        c = F.replace(c, F.lit(said), page)
+    return strip(_without(c, FRAGMENT, LEFTOVER[:-2] + r"\}?"))
 
 
 def slug(c: Column) -> Column:
@@ -151,16 +188,21 @@ def versioned(named: dict[str, str], key: str, version: int) -> str | None:
     return named.get(f"{key}{version}", named.get(key))
 
 
-@F.pandas_udf(_TEMPLATES)
-def template_rows(text: pd.Series, name: pd.Series) -> pd.Series:
+def template_rows(text: Column | str, name: Column) -> Column:
     """All templates of a name as named and positional parameters."""
+    ship()
+    return _template_rows(text, name)
+
+
+@F.pandas_udf(_TEMPLATES)
+def _template_rows(text: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(("named", "positional"), parameters(b))) for b in templates(t or "", n)] for t, n in zip(text, name)])
 
 
 _INNER = re.compile(r"\{\{([^{}|]*)((?:\|[^{}]*)?)\}\}")
 
 
-def expand(text: str, rounds: int = 32) -> str:
+def expand(text: str) -> str:
     """Innermost templates expanded until nothing changes: sic and colour keep their text, gender and random lines their
     first choice, plinks their name; unknown ones go. Then links, bold and italics."""
 
@@ -172,15 +214,17 @@ def expand(text: str, rounds: int = 32) -> str:
             return parts[-1] if parts else ""
         return parts[0] if parts and name in ("plink", "trandom", "gender", "tmissing") else ""
 
-    for _ in range(rounds):
-        new = _INNER.sub(one, text)
-        if new == text:
-            break
+    while (new := _INNER.sub(one, text)) != text:  # every round takes a pair of braces away
         text = new
     text = re.sub(r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", r"\1", text)
     return re.sub(r"'{2,3}", "", text).strip()
 
 
+def expanded(text: Column | str) -> Column:
+    ship()
+    return _expanded(text)
+
+
 @F.pandas_udf(StringType())
-def expanded(text: pd.Series) -> pd.Series:
+def _expanded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else expand(t))

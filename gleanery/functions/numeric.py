@@ -52,14 +52,23 @@ def parse_count(c: Column) -> Column:
     return F.when(clean.rlike(r"^\d+$"), clean.try_cast("int")).otherwise(F.coalesce(F.try_element_at(words, F.lower(c)), F.lit(1)))
 
 
+#: The notations of a place, in the order in which they count.
+PLACES = {"x": r"\|x\s*=\s*\d+", "y": r"\|y\s*=\s*\d+", "pair": r"x:\d+,y:\d+", "bare": r"\|\d{3,5},\d{3,5}"}
+
+
 def coordinates(c: Column) -> Column:
-    """Pairs in the first of three formats that has any: |x=..|y=.. (one pair), x:..,y:.. and |n,n (all of them)."""
-    x, y = F.regexp_extract(c, r"\|x\s*=\s*(\d+)", 1), F.regexp_extract(c, r"\|y\s*=\s*(\d+)", 1)
-    pair = lambda p: F.struct(p["a"].cast("int").alias("x"), p["b"].cast("int").alias("y"))
-    both = lambda pattern: F.transform(F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(c, F.lit(pattern), F.lit(2)).alias("b")), pair)
-    colon, bare = both(r"x:(\d+),y:(\d+)"), both(r"\|(\d{3,5}),(\d{3,5})")
-    one = F.array(F.struct(x.try_cast("int").alias("x"), y.try_cast("int").alias("y")))
-    return F.when((x != "") & (y != ""), one).when(F.size(colon) > 0, colon).otherwise(bare)
+    """Pairs in the first of three notations that has any: |x=..|y=.. (one pair), x:..,y:.. and |n,n (all of them)."""
+
+    def token(said: Column) -> Column:
+        kind = F.when(F.startswith(said, F.lit("|x")), "x").when(F.startswith(said, F.lit("|y")), "y").when(F.startswith(said, F.lit("x")), "pair").otherwise("bare")
+        return F.struct(kind.alias("kind"), F.transform(F.regexp_extract_all(said, F.lit(r"\d+"), F.lit(0)), lambda n: n.try_cast("int")).alias("n"))
+
+    tokens = F.transform(F.regexp_extract_all(c, F.lit("|".join(PLACES.values())), F.lit(0)), token)
+    of = lambda kind: F.filter(tokens, lambda t: t["kind"] == kind)
+    place = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    every = lambda kind: F.transform(of(kind), lambda t: place(F.get(t["n"], 0), F.get(t["n"], 1)))
+    x, y = (F.get(F.get(of(k), 0)["n"], 0) for k in "xy")
+    return F.when((F.size(of("x")) > 0) & (F.size(of("y")) > 0), F.array(place(x, y))).when(F.size(of("pair")) > 0, every("pair")).otherwise(every("bare"))
 
 
 def skill_levels(c: Column) -> Column:

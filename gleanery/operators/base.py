@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_set: set[str] = set()
+from gleanery.cluster import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the folder named in spark.checkpoint.dir; a local folder is set only where that is unset."""
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and app not in _set and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gleanery-checkpoint-"))
-    _set.add(app)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

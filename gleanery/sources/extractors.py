@@ -70,10 +70,6 @@ RECORDS = {
     "game_variable": Record(("Infobox Var",), {"name": ("name", "text"), "var_id": ("index", "int"), "var_type": ("type", "text"), "content": ("content", "text")}),
 }
 
-#: More versions than any page has.
-MOST_VERSIONS = 40
-
-
 def extract(pages: DataFrame, record: Record | str, text: str = "wikitext") -> DataFrame:
     """title, position among the page's templates, version (null for a page without), and the record's columns.
 
@@ -87,7 +83,8 @@ def extract(pages: DataFrame, record: Record | str, text: str = "wikitext") -> D
     found = found.select("title", "position", F.col("t.named").alias("named"), F.col("t.positional").alias("positional"))
     get = lambda key: F.try_element_at("named", key)
     if record.versions:
-        numbers = F.filter(F.sequence(F.lit(1), F.lit(MOST_VERSIONS)), lambda k: get(F.concat(F.lit("version"), k.cast("string"))).isNotNull())
+        said = F.regexp_extract_all(F.array_join(F.map_keys("named"), "\n"), F.lit(r"(?m)^version([1-9]\d{0,8})$"), F.lit(1))
+        numbers = F.array_sort(F.transform(said, lambda k: k.cast("int")))
         found = found.withColumn("number", F.explode_outer(numbers))
         own = lambda key: F.coalesce(get(F.concat(F.lit(key), F.col("number").cast("string"))), get(F.lit(key)))
         version = get(F.concat(F.lit("version"), F.col("number").cast("string")))

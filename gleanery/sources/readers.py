@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.cluster import ship
+
 _TILE = r"(\d+)_(\d+)_(\d+)\.png$"
 
 
@@ -45,6 +47,7 @@ def tile_archive(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame([(*map(int, m.groups()), z.read(n)) for n, m in names], columns=["plane", "region_x", "region_y", "image"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
+    ship(spark)
     return files.mapInPandas(unzip, "plane int, region_x int, region_y int, image binary")
 
 

@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanery.cluster import shared_folder, ship
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -26,8 +27,7 @@ def run(df: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Everything available once through the stream, into a memory-free sink: a table in the shared folder, one folder a batch.
     In update mode, the last row of each key counts; in complete mode the last batch does."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gleanery-stream-")
-    root = f"{root}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/b{number:09d}")
@@ -86,6 +86,7 @@ def baselines(df: DataFrame) -> DataFrame:
         state.update((base,))
         yield pd.DataFrame({"user_id": [key[0]], "gain": [int(cents.iloc[-1]) - base]})
 
+    ship(df.sparkSession)
     return df.groupBy("user_id").applyInPandasWithState(step, schema, "base long", "update", "NoTimeout")
 
 
