@@ -1,35 +1,17 @@
-"""What the operators of this subpackage share: tables, code shipping, written tables, held-out rows."""
+"""What the operators of this subpackage share: tables, written tables, held-out rows."""
 
 from __future__ import annotations
 
 import atexit
 import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = Path(__file__).resolve().parent.parent
-
-_shipped: set[str] = set()
-_folders: dict[str, str] = {}
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that their Python workers can import it."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    archive = Path(tempfile.mkdtemp()) / f"{PACKAGE.name}.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for path in sorted(PACKAGE.rglob("*.py")):
-            z.write(path, path.relative_to(PACKAGE.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(app)
+from gleanery.cluster import shared_folder, ship
 
+__all__ = ["documents", "drop_at_exit", "held_out", "shared_folder", "ship", "small_batches", "sweep_at_exit", "table", "tokenizer_path", "written"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,17 +28,6 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one is set only where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _folders:
-        _folders[app] = "file://" + tempfile.mkdtemp(prefix="gleanery-")
-    return _folders[app]
-
-
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """The same rows, read back from Parquet in the shared folder: lineage ends here and survives lost executors."""
     spark = df.sparkSession

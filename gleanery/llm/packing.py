@@ -9,7 +9,8 @@ demand ("dot"); if none holds it, a new one opens.
 
 Scale: a task packs its own partition as a stream, in blocks of bounded size; sequences that a block leaves
 unfilled stay open for the next. What the partitions leave unfilled at their ends is packed again in a second pass over
-those few pieces, so waste doesn't grow with the number of partitions. There's no shuffle of documents and none by key:
+those few pieces, in tasks of `pass_tokens` each, so waste doesn't grow with the number of partitions. No task keeps more than `max_open`
+sequences open: beyond that the fullest go to the second pass, and there are closed. There's no shuffle of documents and none by key:
 a hot source or group of copies changes nothing.
 
 Defined cases: a null text is empty and has the end mark alone; empty tables give no rows; equal documents are packed
@@ -42,7 +43,7 @@ _PROBE = "A probe,  of 12 words;\n\n it's half-done?\u00e9\u4e2d\U0001f600 <|end
 
 
 class Encoder:
-    """Token ids of texts as the tokenizers library gives them.
+    """Token ids of texts as the tokenizers library gives them, special tokens in a text included.
 
     The merges run over the ranks file, which holds the same vocabulary as the tokenizer file at a fifth of the time; a
     probe text must come out alike in both. Texts without a run of white space take a pattern without look-ahead.
@@ -50,6 +51,7 @@ class Encoder:
 
     def __init__(self, path: str, ranks: str) -> None:
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
@@ -57,19 +59,24 @@ class Encoder:
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(path) as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         full = public_tokenizers.PATTERN
         self.full, self.plain = (
             tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=table, special_tokens={}).encode_ordinary
             for p in (full, full.replace(r"\s+(?!\S)|", ""))
         )
+        # Special tokens are looked for before the text is split; few texts have one.
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
+        marked = tiktoken.Encoding("marked", pat_str=full, mergeable_ranks=table, special_tokens=special)
+        self.marked = lambda text: marked.encode(text, allowed_special="all")
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        if tokenizer.encode(_PROBE, add_special_tokens=False).ids != self.full(_PROBE):
+        if tokenizer.encode(_PROBE, add_special_tokens=False).ids != self.marked(_PROBE):
             raise ValueError(f"{ranks} is not the vocabulary of {path}")
 
     def __call__(self, text: str) -> bytes:
         """Unsigned 32-bit ids, little-endian."""
-        ids = array("I", (self.full if _RUN.search(text) else self.plain)(text))
+        ids = array("I", (self.marked if self.special(text) else self.full if _RUN.search(text) else self.plain)(text))
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
@@ -132,7 +139,15 @@ class Packer:
 
     def take(self, fill: float) -> list[list]:
         """Remove and return the sequences filled to this part of their tokens."""
-        full = self.residual[:, 0] <= (1 - fill) * self.capacity[0]
+        return self._remove(self.residual[:, 0] <= (1 - fill) * self.capacity[0])
+
+    def fullest(self, most: int) -> list[list]:
+        """Remove and return the fullest sequences beyond `most`."""
+        full = np.zeros(len(self.bins), bool)
+        full[np.argsort(self.residual[:, 0], kind="stable")[: max(0, len(self.bins) - most)]] = True
+        return self._remove(full)
+
+    def _remove(self, full: np.ndarray) -> list[list]:
         out = [b for b, f in zip(self.bins, full) if f]
         self.bins = [b for b, f in zip(self.bins, full) if not f]
         self.residual = self.residual[~full]
@@ -149,12 +164,15 @@ def pack(
     rule: str = "norm",
     weights: tuple[float, float, float] = (1.0, 1e-4, 1e-4),
     block_tokens: int = 3 << 20,
+    pass_tokens: int = 16 << 20,
+    max_open: int = 4096,
     with_ids: bool = True,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the ids themselves.
 
     length, max_documents and max_attention (sum of squared lengths) are what a sequence holds; the defaults of the
-    last two bind nothing. block_tokens bounds what a task holds before it packs.
+    last two bind nothing. block_tokens bounds what a task holds before it packs, max_open the sequences that it then keeps open, and
+    pass_tokens what a task of the second pass reads.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -210,6 +228,7 @@ def pack(
             if held >= block_tokens:
                 packer.add(pending)
                 yield from emit(packer.take(0.95), following)
+                yield from emit(packer.fullest(max_open), lambda: None)
                 pending, held = [], sum(p[0] for b in packer.bins for p in b) // 2
         packer.add(pending)
         yield from emit(packer.take(0.99), following)
@@ -225,16 +244,17 @@ def pack(
                 held += row[0]
             if held >= block_tokens:
                 packer.add(pending)
-                yield from emit(packer.take(0.95), following)
+                yield from emit(packer.take(0.95) + packer.fullest(max_open), following)
                 pending, held = [], sum(p[0] for b in packer.bins for p in b) // 2
         packer.add(pending)
         yield from emit(packer.bins, following)
 
     source = common.documents(docs)
-    tasks = source.rdd.getNumPartitions()
     once = common.written(source.mapInArrow(first, schema))
     done = once.where("sequence_id is not null")
-    rest = once.where("sequence_id is null").repartition(max(1, tasks // 64)).mapInArrow(second, schema)
+    rest = once.where("sequence_id is null")
+    tasks = int((rest.agg(F.sum("length")).first()[0] or 0) // pass_tokens) + 1
+    rest = rest.repartition(tasks).mapInArrow(second, schema)
     return done.unionByName(rest)
 
 
