@@ -73,7 +73,7 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     said = F.lit(date) if damaged is None else F.when(damaged, F.lit(date[:-2] + ("0" if date[-2] != "0" else "1") + date[-1])).otherwise(F.lit(date))
     size = F.coalesce(F.octet_length(html), F.lit(0))
     rows = pages.select(record(F.col("page_id").cast("long"), F.col("url").cast("string"), html, said).alias("value"), size.alias("size"))
-    write = lambda df, n, to: df.select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", n).text(to)
+    write = lambda df, n, to: df.select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", n).text(to)
     largest = pages.agg(F.max(size)).first()[0] or 0
     write(rows.where(F.col("size") <= SIZES[0]) if largest > SIZES[0] else rows, file_records, path)
     if largest > SIZES[0]:
