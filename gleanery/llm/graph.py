@@ -12,8 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node that it's linked with, itself included) of every node on an edge.
 
     edges: a, b (long). Rounds of hooking and contraction: every component's root takes the smallest root that an edge
-    joins it to as its parent, trees are flattened by pointer jumping, and edges inside a component go. Each round at
-    least halves the number of roots that still have edges; each is written to the shared folder, so lineage stays short.
+    joins it to as its parent, trees are flattened by pointer jumping, and edges inside a component go. In a round every root that
+    has a smaller neighbour goes; each round is written to the shared folder, so lineage stays short.
     """
     pairs = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct()
     pairs = common.written(pairs)

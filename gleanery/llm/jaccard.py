@@ -7,16 +7,17 @@ points by its upper corner and its smallest size, is passed over where that sum
 
 1. Documents of equal sets become one representative, by a digest of the set.
 2. Representatives are dealt to cells, one for each of KEYS independent minimum hashes of their shingles. A pair of similarity s
-   shares each cell with probability s, so at 0.75 it shares fewer than NEED with a probability below 2e-8; pairs that share so few,
-   such as texts with one passage in common, go no further.
+   shares each cell with probability s, so a link shares fewer than needed(s) (14 at 0.75) with a probability below LOSS; pairs that
+   share so few, such as texts with one passage in common, go no further. With `exact`, cells are the smallest shingles of a set, as
+   many as leave fewer than a link must share: links then share a cell for certain, and no number of cells is asked for.
 3. In each of ROUNDS rounds each representative is verified against one partner of another class: of its cells' first members (by
    class, then by document or, later, by a hash that changes with the round) the one that it shares the most cells with.
    That joins most copies of a text to one class.
 4. In cells with members of different classes, R-trees give all pairs of different classes whose bound holds; those that
-   share NEED cells, counted in the first cell that they share, are verified. Within a class nothing can change the classes, so
+   share enough cells, counted in the first cell that they share, are verified. Within a class nothing can change the classes, so
    nothing is tried: the join gives classes only, neither links nor their number.
 
-Scale: texts are read where they lie; only representatives with NEED shared cells have theirs moved, once. A cell with more
+Scale: texts are read where they lie; only representatives with enough shared cells have theirs moved, once. A cell with more
 members than `cell_rows` (a passage in a third of all documents) is dealt by bands of size, of which only neighbours can
 link, and within bands by blocks, so no task has more than two blocks. No group's pairs are written out: pairs leave a task only past the
 bound, between classes. Classes are joined by distributed rounds.
@@ -29,6 +30,7 @@ class; repeated rows stay rows; empty tables give no rows; other columns are ign
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,11 @@ from .suffixes import _mix, prefix_sums, span_hash
 U = np.uint64
 SHINGLE = 5
 GROUPS = 64
-KEYS, NEED = 40, 14
+KEYS = 40
+#: The probability with which a link may share too few cells.
+LOSS = 2e-8
+#: Rows of small cells that one task takes.
+TASK_ROWS = 8000
 #: Rounds of one partner each before the trees.
 ROUNDS = 4
 FANOUT = 16
@@ -92,6 +98,22 @@ def keys(shingles: np.ndarray) -> list[int]:
     return [int((_mix(shingles ^ seed).min() + U(k)).astype(np.int64)) for k, seed in enumerate(_SEEDS)]
 
 
+def needed(similarity: int) -> int:
+    """How many cells a pair must share: the most that all links but a part of LOSS do."""
+    s, lost = similarity / 100, 0.0
+    for n in range(KEYS):
+        lost += comb(KEYS, n) * s**n * (1 - s) ** (KEYS - n)
+        if lost > LOSS:
+            return max(1, n)
+    return KEYS
+
+
+def prefix(shingles: np.ndarray, similarity: int) -> list[int]:
+    """The smallest shingles of a set: one at least is also among those of any set that it's linked with."""
+    least = -(-similarity * len(shingles) // 100)
+    return shingles[: len(shingles) - least + 1].astype(np.int64).tolist()
+
+
 class RTree:
     """Points packed by size, then by their fullest group, FANOUT to a box; each box has its upper corner and smallest size."""
 
@@ -180,9 +202,11 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: int = 75, cell_rows: int = 2000) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id: the smallest doc_id that links lead to, itself included."""
+def near_duplicates(docs: DataFrame, similarity: int = 75, cell_rows: int = 2000, exact: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id: the smallest doc_id that links lead to, itself included.
+    exact: no link is left to chance, for a quarter of all shingles (at 75) as cells."""
     spark = docs.sparkSession
+    need = 1 if exact else needed(similarity)
     common.ship(spark)
     common.small_batches(spark)
     source = common.documents(docs)
@@ -196,7 +220,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, cell_rows: int = 2000
                 s = shingle_set(text)
                 if len(s):
                     one, two = (int(np.add.reduce(_mix(s * f), dtype=np.uint64).astype(np.int64)) for f in (_PLACE[0], _PLACE[1]))
-                    row = (len(s), one, two, keys(s), point(s).tobytes())
+                    row = (len(s), one, two, prefix(s, similarity) if exact else keys(s), point(s).tobytes())
                 else:
                     row = (0, 0, 0, [], b"")
                 for c, v in zip(columns, row):
@@ -212,7 +236,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, cell_rows: int = 2000
     postings = nodes.select("node", F.explode("keys").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     postings = common.written(postings.join(shared, "key"))
-    rich = postings.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= NEED).select("node")
+    rich = postings.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= need).select("node")
     postings = common.written(postings.join(rich, "node", "left_semi"))
 
     members = postings.select("node").distinct()
@@ -229,7 +253,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, cell_rows: int = 2000
         labelled = common.written(labelled)
         by = F.struct("label", F.xxhash64("node", F.lit(number)) if number else F.col("node"))
         first = labelled.groupBy("key").agg(F.min_by(F.struct("node", "label"), by).alias("first")).select("key", F.col("first.node").alias("b"), F.col("first.label").alias("other"))
-        partner = labelled.join(first, "key").where("label != other").groupBy("node", "b").agg(F.count("*").alias("n")).where(F.col("n") >= NEED)
+        partner = labelled.join(first, "key").where("label != other").groupBy("node", "b").agg(F.count("*").alias("n")).where(F.col("n") >= need)
         partner = partner.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"), "node", "n")
         if tried is not None:
             partner = partner.join(tried, ["a", "b"], "left_anti")
@@ -247,7 +271,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, cell_rows: int = 2000
     labelled = common.written(labelled)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     cells = labelled.join(mixed, "key").join(nodes.select("node", "point", "keys", "n_shingles"), "node")
-    tasks = int(postings.count() // 100_000) + 1
+    tasks = int(postings.count() // TASK_ROWS) + 1
     calm = cells.where(F.col("members") <= cell_rows).select(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task"), "key", "node", "label", F.lit(0).alias("side"), F.lit(False).alias("two"), "point", "keys")
 
     # Crowded cells: bands of size (neighbours alone can link), cut into blocks; each pair of blocks is a task.
@@ -268,16 +292,17 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, cell_rows: int = 2000
         by = np.lexsort((table.column("node").to_numpy(), key))
         node, label, side = (table.column(c).to_numpy()[by] for c in ("node", "label", "side"))
         points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u4").reshape(-1, GROUPS)[by]
-        all_keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, KEYS)[by]
         key = key[by]
         a, b = survivors(key, label, side, points, similarity, table.column("two")[0].as_py())
-        # A pair comes up in every cell that it shares; it's taken in the first of them, if they are enough.
-        keep = np.zeros(len(a), bool)
-        for at in range(0, len(a), 100_000):
-            i, j = a[at : at + 100_000], b[at : at + 100_000]
-            both = all_keys[i] == all_keys[j]
-            keep[at : at + 100_000] = (both.sum(axis=1) >= NEED) & (all_keys[i, both.argmax(axis=1)] == key[i])
-        a, b = a[keep], b[keep]
+        if not exact:
+            # A pair comes up in every cell that it shares; it's taken in the first of them, if they are enough.
+            all_keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, KEYS)[by]
+            keep = np.zeros(len(a), bool)
+            for at in range(0, len(a), 100_000):
+                i, j = a[at : at + 100_000], b[at : at + 100_000]
+                both = all_keys[i] == all_keys[j]
+                keep[at : at + 100_000] = (both.sum(axis=1) >= need) & (all_keys[i, both.argmax(axis=1)] == key[i])
+            a, b = a[keep], b[keep]
         return pa.table({"a": pa.array(np.maximum(node[a], node[b]), pa.int64()), "b": pa.array(np.minimum(node[a], node[b]), pa.int64())})
 
     pairs = calm.unionByName(crowd).groupBy("task").applyInArrow(pair_up, "a long, b long").distinct()

@@ -1,8 +1,10 @@
 import random
 import re
 from itertools import combinations
+from math import comb
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gleanery.llm import graph, jaccard
@@ -13,7 +15,7 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute(rows):
+def brute(rows, similarity=75):
     ids = sorted({d for d, _ in rows if d is not None})
     up = {d: d for d in ids}
 
@@ -24,7 +26,7 @@ def brute(rows):
 
     sets = [(d, shingles(t)) for d, t in rows if d is not None]
     for (d, a), (e, b) in combinations([s for s in sets if s[1]], 2):
-        if 100 * len(a & b) >= 75 * len(a | b):
+        if 100 * len(a & b) >= similarity * len(a | b):
             x, y = sorted((root(d), root(e)))
             up[y] = x
     return sorted(((d is None, d or 0, len(shingles(t)), None if d is None else root(d)) for d, t in rows), key=repr)
@@ -54,7 +56,7 @@ def corpus(seed, groups, size):
 def check(spark, rows, **kw):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("x")).withColumn("component_id", F.lit(1))
     got = [(r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, **kw).collect()]
-    assert sorted(got, key=repr) == brute(rows)
+    assert sorted(got, key=repr) == brute(rows, kw.get("similarity", 75))
 
 
 def test_matches_brute_force(spark):
@@ -65,6 +67,27 @@ def test_crowded_cells_match_brute_force(spark):
     check(spark, corpus(2, 40, 12), cell_rows=4)
 
 
+@pytest.mark.parametrize("similarity,exact", [(50, False), (50, True), (75, True), (30, True)])
+def test_other_similarities_match_brute_force(spark, similarity, exact):
+    check(spark, corpus(3, 40, 8), similarity=similarity, exact=exact, cell_rows=20)
+
+
+def test_needed_cells_lose_no_more_than_said():
+    for similarity in (50, 60, 75, 90):
+        n, s = jaccard.needed(similarity), similarity / 100
+        tail = lambda n: sum(comb(jaccard.KEYS, k) * s**k * (1 - s) ** (jaccard.KEYS - k) for k in range(n))
+        assert tail(n) <= jaccard.LOSS < tail(n + 1)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(5000)}" for _ in range(150_000)]
+    other = [w if rng.random() < 0.97 else "x" for w in long]
+    rows = [(5, " ".join(long)), (9, " ".join(other)), (3, " ".join(long[:70_000])), (4, " ".join(long[:100]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: (len(shingles(t)), 5 if d == 9 else d) for d, t in rows}
+
+
 def test_empty_table(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
