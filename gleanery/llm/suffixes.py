@@ -311,7 +311,8 @@ def _joined(parts: list[np.ndarray], dtype) -> np.ndarray:
 
 
 def _ranges(h: np.ndarray, ranges: int) -> np.ndarray:
-    return ((h >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+    """Of each hash; mixed again, as landmarks are small hashes."""
+    return ((_mix(h) >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
 
 
 def _table(schema: pa.Schema, columns: list) -> pa.Table:
@@ -359,7 +360,7 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {_DDL[str(f.type)]}" for f in schema)
 
 
-def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes: int = 8 << 20, carry: list[str] | None = None, hot: int = 20_000, pass_contexts: int = 8000) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes: int = 8 << 20, carry: list[str] | None = None, hot: int = 8000, pass_contexts: int = 8000) -> DataFrame:
     """One row per document: doc_id, text, rest (a struct of the columns named in carry), and removed: the start and end, in UTF-8 bytes, of its maximal runs of bytes
     that strings of `window` bytes cover which also start in a document with a smaller doc_id."""
     if not 8 <= gram <= window:
@@ -371,6 +372,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     total = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = int(total // part_bytes) + 1
+    ranges = max(parts, 64)
     name = f"gleanery_{uuid.uuid4().hex}"
     source = source.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
     source.repartition(parts, "part").write.bucketBy(parts, "part").option("compression", "zstd").saveAsTable(name, format="parquet")
@@ -384,9 +386,9 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes
 
     def ranged(part: int, schema: pa.Schema, sort_by: np.ndarray, columns: list[np.ndarray], blob: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> pa.Table:
         """A row for each range. blob: data, starts and sizes of spans, the last column."""
-        at = _ranges(sort_by, parts)
+        at = _ranges(sort_by, ranges)
         by = np.argsort(at, kind="stable")
-        edges = np.searchsorted(at[by], np.arange(parts + 1))
+        edges = np.searchsorted(at[by], np.arange(ranges + 1))
         full = np.flatnonzero(edges[1:] > edges[:-1])
         rows = [by[edges[r] : edges[r + 1]] for r in full]
         out = [[_blob(c[x]) for x in rows] for c in columns]
