@@ -2,39 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import conditions, dialogue, game, markup, numeric
 from gleanery.operators import accounts, graphs, joins, lookups, requirements, sequences, sinks, spatial
 from gleanery.operators.base import table, with_point
+from gleanery.plans.registry import oracle_sql, queries, query
 from gleanery.streaming import events as streams
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        name = f.__name__.rstrip("_")
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = " ".join(sql.split())
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 # --- lookups and predicates ------------------------------------------------------------------------------------------
 
 
@@ -174,17 +149,9 @@ def distinct_order_hidden(spark, sf):
     return joins.distinct_by_hidden(table(spark, sf, "orders"), ["o_custkey", "o_orderstatus"], "o_orderkey")
 
 
-@query("""select a.l_orderkey, a.l_linenumber as line, b.l_linenumber as other_line from
-(select l_orderkey, l_returnflag, l_linestatus, l_linenumber from lineitem where l_quantity > 45) a join
-(select l_orderkey, l_returnflag, l_linestatus, l_linenumber from lineitem where l_quantity > 45) b
+@query("""select a.l_orderkey, a.l_linenumber as line, b.l_linenumber as other_line from lineitem a join lineitem b
 on a.l_orderkey = b.l_orderkey and a.l_returnflag = b.l_returnflag and a.l_linestatus = b.l_linestatus and a.l_linenumber <> b.l_linenumber""")
 def self_pair_residual(spark, sf):
-    return _line_pairs(table(spark, sf, "lineitem").where("l_quantity > 45"))
-
-
-@query()
-def self_pair_residual_whole(spark, sf):
-    """self_pair_residual over all lines; its SQL keeps the large ones."""
     return _line_pairs(table(spark, sf, "lineitem"))
 
 
@@ -379,7 +346,7 @@ def account_levels(spark, sf):
     return requirements.levels_after(gains, game.experience_table(spark).withColumnRenamed("xp", "needs"))
 
 
-_DONE = """with recursive a as (select o_custkey as account, o_orderkey % 500 as quest, o_orderkey as seq from orders where o_custkey < 40 and o_orderkey % 500 > 0),
+_DONE = """with recursive a as (select o_custkey as account, o_orderkey % 500 as quest, o_orderkey as seq from orders where o_orderkey % 500 > 0),
 d as (select account, quest, seq from a union select account, quest // 2, seq from d where quest // 2 > 0),
 done as (select account, quest, min(seq) as "at" from d group by 1, 2)"""
 
@@ -399,22 +366,11 @@ def _points(done):
 
 @query(f"{_DONE} select account, quest, \"at\" from done")
 def account_quests(spark, sf):
-    return _done(_actions(spark, sf).where("account < 40"))
+    return _done(_actions(spark, sf))
 
 
 @query(f"{_DONE} select account, sum(quest % 5)::bigint as points from done group by 1")
 def account_points(spark, sf):
-    return _points(_done(_actions(spark, sf).where("account < 40")))
-
-
-@query()
-def account_quests_whole(spark, sf):
-    """account_quests of every account; its SQL names the first 40 only."""
-    return _done(_actions(spark, sf))
-
-
-@query()
-def account_points_whole(spark, sf):
     return _points(_done(_actions(spark, sf)))
 
 
@@ -517,18 +473,14 @@ def dependency_order(spark, sf):
     return graphs.dependency_levels(_tree(spark, sf, cyclic=False))
 
 
-_BIPARTITE = "select distinct l_suppkey as src, l_partkey + 1000000 as dst from lineitem where l_orderkey % 97 = 0"
+#: Labels spread until none shrinks, a row for each node.
+_SPREAD = """c(node, component) using key (node) as (select s, min(least(s, d)) from b group by 1
+union select b.d, min(c.component) from c join b on b.s = c.node join recurring.c r on r.node = b.d where c.component < r.component group by 1)"""
 
 
-@query(f"""with recursive b as (select src, dst from ({_BIPARTITE}) union select dst, src from ({_BIPARTITE})),
-c as (select src as node, src as root from b union select b.dst, c.root from c join b on b.src = c.node) select node, min(root) as component from c group by 1""")
+@query(f"""with recursive b as materialized (select l_suppkey as s, l_partkey + 1000000 as d from lineitem union select l_partkey + 1000000, l_suppkey from lineitem),
+{_SPREAD} select node, component from c""")
 def components(spark, sf):
-    return graphs.components(_bipartite(table(spark, sf, "lineitem").where("l_orderkey % 97 = 0")))
-
-
-@query()
-def components_whole(spark, sf):
-    """components over every supplier-part edge; its SQL thins them out."""
     return graphs.components(_bipartite(table(spark, sf, "lineitem")))
 
 
@@ -546,7 +498,11 @@ def _roads(spark, sf):
     return a.unionByName(table(spark, sf, "nation").select(n.alias("src"), ((n + 1) % 25).alias("dst"), F.lit(9).cast("long").alias("weight")))
 
 
-@query(f"with recursive e as ({_ROADS}), c as (select 0::bigint as node, 0::bigint as cost, 0 as hops union select e.dst, c.cost + e.weight, hops + 1 from c join e on e.src = c.node where hops < 24 and c.cost + e.weight <= 60) select node, min(cost) as cost from c group by 1")
+_COSTS = f"""with recursive e as materialized ({_ROADS}), c(node, cost) using key (node) as (select 0::bigint, 0::bigint
+union select e.dst, min(c.cost + e.weight) from c join e on e.src = c.node left join recurring.c r on r.node = e.dst where r.node is null or c.cost + e.weight < r.cost group by 1)"""
+
+
+@query(f"{_COSTS} select node, cost from c")
 def shortest_path(spark, sf):
     return graphs.shortest_paths(_roads(spark, sf), spark.range(1)).select("node", "cost")
 
@@ -586,28 +542,40 @@ def _tiles(spark, sf):
 _TILES = "(select (n % 40)::int as x, (n // 40)::int as y, case when n * 7919 % 11 < 3 then 48 else (((1 << (n * 31 % 9)::int) & 15) | 32) end as flags from range(1600) t(n))"
 
 
-@query(f"""select s.x, s.y, t.x as tx, t.y as ty from {_TILES} s join {_TILES} t on abs(s.x - t.x) + abs(s.y - t.y) = 1
-where t.flags & 16 = 0 and s.flags & (case when t.x < s.x then 1 when t.x > s.x then 4 when t.y > s.y then 2 else 8 end) = 0""")
+_WALK = f"""t as materialized (select * from {_TILES}), steps as (values (-1, 0, 1, 0, 0, 0), (1, 0, 4, 0, 0, 0), (0, 1, 0, 2, 0, 0), (0, -1, 0, 8, 0, 0),
+(-1, 1, 1, 2, 256, 1024), (1, 1, 4, 2, 512, 2048), (1, -1, 4, 8, 1024, 256), (-1, -1, 1, 8, 2048, 512)),
+m as materialized (select s.x, s.y, s.x + dx as tx, s.y + dy as ty, cs, cd, s.flags as sf, g.flags as gf from t s, steps p(dx, dy, h, v, cs, cd) join t g on g.x = s.x + dx and g.y = s.y + dy
+left join t a on a.x = s.x + dx and a.y = s.y left join t b on b.x = s.x and b.y = s.y + dy
+where s.flags & (h | v) = 0 and g.flags & 16 = 0 and (dx = 0 or dy = 0 or (a.flags & (v | 16) = 0 and b.flags & (h | 16) = 0)))"""
+
+
+@query(f"with {_WALK} select x, y, tx, ty from m where sf & cs = 0 and gf & cd = 0")
+def all_moves(spark, sf):
+    return spatial.moves(_tiles(spark, sf))
+
+
+@query(f"with {_WALK} select x, y, tx, ty from m where x = tx or y = ty")
 def cardinal_moves(spark, sf):
     return spatial.moves(_tiles(spark, sf)).where("x = tx or y = ty")
 
 
-@query()
+@query(f"""with recursive {_WALK}, b as materialized (select x * 1048576::bigint + y as s, tx * 1048576::bigint + ty as d from m where sf & 16 = 0 union select tx * 1048576::bigint + ty, x * 1048576::bigint + y from m where sf & 16 = 0),
+{_SPREAD} select x, y, coalesce(component, x * 1048576::bigint + y) as component from t left join c on node = x * 1048576::bigint + y where flags & 16 = 0""")
 def walkable_components(spark, sf):
     return spatial.walkable_components(_tiles(spark, sf))
 
 
-_OWNERS = f"select x, y, s_suppkey as owner from (select x, y, s_suppkey, row_number() over (partition by x, y order by (x - px) * (x - px) + (y - py) * (y - py), s_suppkey) as r from {_TILES} , (select s_suppkey, s_suppkey * 7 % 40 as px, s_suppkey * 11 % 40 as py from supplier where s_suppkey < 30)) where r = 1"
+_OWNERS = f"select x, y, s_suppkey as owner from (select x, y, s_suppkey, row_number() over (partition by x, y order by (x - px) * (x - px) + (y - py) * (y - py), s_suppkey) as r from {_TILES} , (select s_suppkey, s_suppkey * 7 % 40 as px, s_suppkey * 11 % 40 as py from supplier)) where r = 1"
 
 
-def _owned(spark, sf, only="true"):
-    points = table(spark, sf, "supplier").where(only).select("s_suppkey", (F.col("s_suppkey") * 7 % 40).alias("px"), (F.col("s_suppkey") * 11 % 40).alias("py"))
+def _owned(spark, sf):
+    points = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") * 7 % 40).alias("px"), (F.col("s_suppkey") * 11 % 40).alias("py"))
     return spatial.owners(_tiles(spark, sf).select("x", "y"), points)
 
 
 @query(_OWNERS)
 def tile_owners(spark, sf):
-    return _owned(spark, sf, "s_suppkey < 30")
+    return _owned(spark, sf)
 
 
 @query(f"with o as ({_OWNERS}) select distinct least(a.owner, b.owner) as a, greatest(a.owner, b.owner) as b from o a join o b on abs(a.x - b.x) + abs(a.y - b.y) = 1 and a.owner <> b.owner")
@@ -615,17 +583,6 @@ def component_borders(spark, sf):
     return spatial.component_borders(tile_owners(spark, sf).withColumnRenamed("owner", "component"))
 
 
-@query()
-def tile_owners_whole(spark, sf):
-    """tile_owners among all suppliers; its SQL names the first 30 only."""
-    return _owned(spark, sf)
-
-
-@query()
-def component_borders_whole(spark, sf):
-    return spatial.component_borders(_owned(spark, sf).withColumnRenamed("owner", "component"))
-
-
 # --- scalar functions ------------------------------------------------------------------------------------------------
 
 
@@ -661,7 +618,7 @@ def parse_numbers(spark, sf):
     )
 
 
-@query("select p_partkey, case p_partkey % 3 when 0 then p_partkey || ':' || p_size when 1 then p_partkey || ':' || p_size || ';' || p_size || ':' || p_partkey else (p_partkey + 1000) || ':' || (p_size + 1000) end as pairs from part where p_partkey < 90000")
+@query("select p_partkey, case p_partkey % 3 when 0 then p_partkey || ':' || p_size when 1 then p_partkey || ':' || p_size || ';' || p_size || ':' || p_partkey else (p_partkey % 90000 + 1000) || ':' || (p_size + 1000) end as pairs from part")
 def coordinates(spark, sf):
     key, size = F.col("p_partkey"), F.col("p_size")
     s = lambda c: c.cast("string")

@@ -1,4 +1,4 @@
-"""Queries over whole tables against brute force; the SQL of their namesakes covers a part."""
+"""Queries over whole tables against brute force."""
 
 import pyarrow.parquet as pq
 
@@ -23,11 +23,11 @@ def test_quests_and_points_of_every_account(spark, sf_dir):
             done[account, quest] = min(seq, done.get((account, quest), seq))
             quest //= 2
     assert max(a for a, _ in done) >= 40
-    assert run(spark, sf_dir, "account_quests_whole", "account", "quest", "at") == sorted((a, q, s) for (a, q), s in done.items())
+    assert run(spark, sf_dir, "account_quests", "account", "quest", "at") == sorted((a, q, s) for (a, q), s in done.items())
     points = {}
     for a, q in done:
         points[a] = points.get(a, 0) + q % 5
-    assert run(spark, sf_dir, "account_points_whole", "account", "points") == sorted(points.items())
+    assert run(spark, sf_dir, "account_points", "account", "points") == sorted(points.items())
 
 
 def test_components_over_every_edge(spark, sf_dir):
@@ -41,14 +41,14 @@ def test_components_over_every_edge(spark, sf_dir):
     for s, p in rows(sf_dir, "lineitem", "l_suppkey", "l_partkey"):
         a, b = find(s), find(p + 1000000)
         top[max(a, b)] = min(a, b)
-    assert run(spark, sf_dir, "components_whole", "node", "component") == sorted((n, find(n)) for n in top)
+    assert run(spark, sf_dir, "components", "node", "component") == sorted((n, find(n)) for n in top)
 
 
 def test_components_that_few_edges_join(spark, tmp_path):
     lines = [(1, 1, 1), (2, 2, 1), (3, 2, 2), (97, 3, 3), (98, 4, 3), (99, 5, 4)]
     spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     want = [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (1000001, 1), (1000002, 1), (1000003, 3), (1000004, 5)]
-    assert run(spark, tmp_path, "components_whole", "node", "component") == want
+    assert run(spark, tmp_path, "components", "node", "component") == want
 
 
 def owned(tiles, points):
@@ -64,8 +64,8 @@ def test_tiles_of_all_suppliers(spark, tmp_path):
     spark.range(60).select("id").withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
     owner = owned([(n % 40, n // 40) for n in range(1600)], [(k, k * 7 % 40, k * 11 % 40) for k in range(60)])
     assert max(owner.values()) >= 30
-    assert run(spark, tmp_path, "tile_owners_whole", "x", "y", "owner") == sorted((*t, k) for t, k in owner.items())
-    assert run(spark, tmp_path, "component_borders_whole", "a", "b") == borders(owner)
+    assert run(spark, tmp_path, "tile_owners", "x", "y", "owner") == sorted((*t, k) for t, k in owner.items())
+    assert run(spark, tmp_path, "component_borders", "a", "b") == borders(owner)
     ports = run(spark, tmp_path, "area_ports", "a", "b", "width")
     assert sorted({p[:2] for p in ports}) == borders(owner)
 
@@ -91,4 +91,4 @@ def test_pairs_of_all_lines(spark, sf_dir):
     for order, flag, status, line in rows(sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber"):
         groups.setdefault((order, flag, status), []).append(line)
     want = sorted((k[0], a, b) for k, lines in groups.items() for a in lines for b in lines if a != b)
-    assert run(spark, sf_dir, "self_pair_residual_whole", "l_orderkey", "line", "other_line") == want
+    assert run(spark, sf_dir, "self_pair_residual", "l_orderkey", "line", "other_line") == want
