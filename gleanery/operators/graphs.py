@@ -110,17 +110,18 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int = 1000
 
 
 def path_steps(best: DataFrame, target: int) -> DataFrame:
-    """The path to one node, from its start: step, node, cost."""
-    spark, rows, node = best.sparkSession, [], target
+    """The path to one node, from its start: step, node, cost. Back-pointers double in reach each round. No rows if it isn't reached."""
     best = checkpointed(best)
-    while node is not None:  # one row a step: a path is short, and each lookup is a filter
-        hit = best.where(F.col("node") == node).first()
-        if hit is None:
+    jump = checkpointed(best.where("prev is not null").select("node", F.col("prev").alias("to")))
+    found, reach = checkpointed(best.where(F.col("node") == target).select("node", F.lit(0).cast("long").alias("back"))), 1
+    while True:
+        further = checkpointed(found.join(jump, "node").select(F.col("to").alias("node"), (F.col("back") + reach).alias("back")))
+        if further.isEmpty():
             break
-        rows.append((hit.node, hit.cost))
-        node = hit.prev
-    rows = [(k, n, c) for k, (n, c) in enumerate(reversed(rows))]
-    return spark.createDataFrame(rows, "step int, node long, cost long")
+        found, reach = found.unionByName(further), 2 * reach
+        jump = checkpointed(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("beyond")), "to").select("node", F.col("beyond").alias("to")))
+    last = found.agg(F.max("back").alias("last"))
+    return found.crossJoin(F.broadcast(last)).select((F.col("last") - F.col("back")).alias("step"), "node").join(best.select("node", "cost"), "node").select("step", "node", "cost")
 
 
 def subtree(nodes: DataFrame, root: int, id_: str = "id", parent: str = "parent_id") -> DataFrame:

@@ -144,5 +144,46 @@ def paired_sides(df: DataFrame, keys: list[str], side: str) -> DataFrame:
     return df.join(other, keys).where(F.col(side) != F.col(f"other_{side}"))
 
 
-def window_rank(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def dictionary(df: DataFrame, name: str, known: DataFrame, most: int = 100_000) -> DataFrame:
+    """Rows whose name the dictionary (name, id) has, with its id; broadcast up to a checked size."""
+    words = known.toDF(name, "found")
+    small = words.limit(most + 1).count() <= most
+    return df.join(F.broadcast(words) if small else words, name)
+
+
+def or_nearest(df: DataFrame, name: str, known: DataFrame) -> DataFrame:
+    """Each row (x, y) with rid: the place of its name, else of the part before the first comma, else the nearest one. known: rid, name, rx, ry."""
+    part = F.trim(F.substring_index(F.col(name), ",", 1))
+    lookup = known.select("name", "rid")
+    stepped = first_found(df, [(F.col(name), lookup), (part, lookup)], "hit")
+    rest = nearest(stepped.where("hit is null").drop("hit"), known.select("rid", "rx", "ry"))
+    return stepped.where("hit is not null").withColumnRenamed("hit", "rid").unionByName(rest.select(*df.columns, "rid"))
+
+
+def expanded_lookup(df: DataFrame, name: str, known: DataFrame, categories: DataFrame) -> DataFrame:
+    """Each row with id: that of its name, else of the name without case, else those of all members of the category of that name. known: name, id.
+    categories: category, id."""
+    lower = known.groupBy(F.lower("name").alias("name")).agg(F.min("id").alias("id"))
+    stepped = first_found(df, [(F.col(name), known), (F.lower(name), lower)], "hit")
+    rest = stepped.where("hit is null").drop("hit").join(categories.withColumnRenamed("category", name), name)
+    return stepped.where("hit is not null").withColumnRenamed("hit", "id").unionByName(rest.select(*df.columns, "id"))
+
+
+def either_target(df: DataFrame, name: str, physical: DataFrame, virtual: DataFrame, default: str) -> DataFrame:
+    """Each row with kind and id of its target (the default's, where it names none): a physical one, else a virtual one."""
+    df = df.withColumn(name, F.coalesce(name, F.lit(default)))
+    both = df.join(physical.toDF(name, "_p"), name, "left").join(virtual.toDF(name, "_v"), name, "left")
+    kind = F.when(F.col("_p").isNotNull(), "physical").when(F.col("_v").isNotNull(), "virtual")
+    return both.withColumn("kind", kind).withColumn("id", F.coalesce("_p", "_v")).drop("_p", "_v")
+
+
+def within_record(df: DataFrame, key: str, *lists: str) -> DataFrame:
+    """Every combination of one element of each list of a row."""
+    for c in lists:
+        df = df.withColumn(c, F.explode(c))
+    return df.select(key, *lists)
+
+
+def detail_labels(df: DataFrame, details: DataFrame, on: str, labels: DataFrame, label: str) -> DataFrame:
+    """Children of the rows, each with the label of what it points to."""
+    return df.join(details, on).join(labels, label)

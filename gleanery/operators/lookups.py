@@ -120,3 +120,44 @@ def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     counts = df.agg(*(F.count_if(~c).alias(n) for n, c in checks.items()))
     cells = F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.col(n).alias("broken")) for n in checks)))
     return counts.select(cells.alias("c")).select("c.check", "c.broken")
+
+
+def by_either(df: DataFrame, primary: str, alternate: str, value) -> DataFrame:
+    """Rows whose primary key is the value, or, if there is none, whose alternate key is."""
+    hit = df.where((F.col(primary) == F.lit(value)) | (F.col(alternate) == F.lit(value))).withColumn("_first", F.col(primary).eqNullSafe(F.lit(value)))
+    best = hit.agg(F.max("_first").alias("_best"))
+    return hit.crossJoin(F.broadcast(best)).where("_first = _best").drop("_first", "_best")
+
+
+def region_window(df: DataFrame, x0: int, x1: int, y0: int, y1: int, size: int = 64) -> DataFrame:
+    """Rows whose region lies in a window of regions, bounds included."""
+    rx, ry = tile_key(F.col("x"), F.col("y"), size)
+    return df.where(rx.between(x0, x1) & ry.between(y0, y1))
+
+
+def same_name(column: Column, text: str) -> Column:
+    """Equality without regard to case."""
+    return F.lower(column) == F.lit(text.lower())
+
+
+def placed(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows that have all of these."""
+    return df.where(all_of([F.col(c).isNotNull() for c in columns]))
+
+
+def root_rows(df: DataFrame, parent: str = "parent_id") -> DataFrame:
+    return df.where(F.col(parent).isNull())
+
+
+def named_like(name: Column, options: Column, include: list[str], exclude: list[str], known: list[str]) -> Column:
+    """Whether a name holds one of some words and none of others, and its options have a known one."""
+    low = F.lower(name)
+    holds = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    return holds(include) & ~holds(exclude) & F.arrays_overlap(options, F.array(*map(F.lit, known)))
+
+
+def widest(df: DataFrame, limit: int, order: str, **given) -> DataFrame:
+    """The first rows by order that fit all criteria: an equality each, or, for `text`, a part of it without case."""
+    text = given.pop("text", None)
+    out = optional_filters(df, **given)
+    return (out if text is None else search(out, "text", text, wildcards=False)).orderBy(order).limit(limit)

@@ -69,3 +69,24 @@ def round_robin(df: DataFrame, order: str, workers: int) -> DataFrame:
 
 def ordered_distinct(df: DataFrame, keys: list[str], column: str, order: str) -> DataFrame:
     return df.groupBy(*keys, column).agg(F.min(order).alias("first_seen"))
+
+
+def nearest_equal_either_side(df: DataFrame, keys: list[str], order: str, prefer: Column) -> DataFrame:
+    """earlier and later: for each row the nearest rows with equal keys on either side, preferred rows first."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    out = df
+    for name, pick, side in (("earlier", F.max, w.rowsBetween(Window.unboundedPreceding, -1)), ("later", F.min, w.rowsBetween(1, Window.unboundedFollowing))):
+        out = out.withColumn(name, F.coalesce(pick(F.when(prefer, F.col(order))).over(side), pick(order).over(side)))
+    return out
+
+
+def block_starts(df: DataFrame, keys: list[str], order: str, kind: str) -> DataFrame:
+    """start: of each row the first row of the contiguous run of its kind among its siblings."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    new = F.when(F.lag(kind).over(w).eqNullSafe(F.col(kind)) & F.lag(order).over(w).isNotNull(), None).otherwise(F.col(order))
+    return df.withColumn("_new", new).withColumn("start", F.last("_new", ignorenulls=True).over(w)).drop("_new")
+
+
+def first_occurrences(items: Column) -> Column:
+    """The distinct elements of an array, in order of their first occurrence."""
+    return F.array_distinct(items)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import first_per
@@ -72,3 +72,26 @@ def aliases(redirects: DataFrame, known: DataFrame) -> DataFrame:
     """(key, alias) of redirects to known names that aren't names themselves."""
     hit = redirects.join(known.select(F.col("name").alias("target"), F.col("id").alias("key")), "target")
     return hit.select("key", "alias").distinct().join(known.select(F.col("name").alias("alias")), "alias", "left_anti").select("key", "alias")
+
+
+def insert_select(target: DataFrame, source: DataFrame, on: str, columns: dict[str, Column]) -> DataFrame:
+    """The target with a row for every match of the source's key in it, made of expressions over both."""
+    made = source.join(target.select(on), on, "left_semi").select(*(c.alias(n) for n, c in columns.items()))
+    return target.unionByName(made)
+
+
+def reloaded(path: str, df: DataFrame) -> DataFrame:
+    """A table replaced as a whole: what was there goes, and doing it again changes nothing."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def evolved(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of two versions of a schema under the columns of both; what a version lacks is null."""
+    return old.unionByName(new, allowMissingColumns=True)
+
+
+def report(df: DataFrame, keys: list[str], line: Column, order: str, mark: str = "\n") -> DataFrame:
+    """One text for each key: its lines in order."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda r: r["l"])
+    return df.groupBy(*keys).agg(F.array_join(lines, mark).alias("report"))

@@ -149,3 +149,8 @@ def owners(tiles: DataFrame, points: DataFrame, small: int = 10_000, cell: int =
         if r >= widest or open_.isEmpty():
             return done
         ring *= 2
+
+
+def cell_at(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """Points (x, y) with the component of their tile; 0 where there's none."""
+    return points.join(cells, ["x", "y"], "left").withColumn("component", F.coalesce("component", F.lit(0)))

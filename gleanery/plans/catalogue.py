@@ -799,3 +799,5 @@ def entity_tags(spark, sf):
     names = spark.createDataFrame([("word", w) for w in ("Tion", "Heat", "That", "With", "12345", "the")], "type string, name string")
     tags = dialogue.tag_entities(table(spark, sf, "conversations").withColumnRenamed("conv_id", "key"), names, "key", "text")
     return tags.distinct()
+
+from gleanery.plans import relations  # noqa: E402, F401 - registers its queries

@@ -123,3 +123,9 @@ def actor_limits(actors: DataFrame, deepest: int, most: int) -> DataFrame:
     w = Window.partitionBy("parent").orderBy("name")
     placed = actors.withColumn("depth", depth).withColumn("parent", parent).withColumn("place", F.row_number().over(w))
     return placed.where((F.col("depth") > deepest) | ((F.col("parent") != "") & (F.col("place") > most))).select("name")
+
+
+def marker_sets(marks: DataFrame, key: str, mark: str, order: str, add: str) -> DataFrame:
+    """Each key's set of marks after all additions and removals (add: true or false), in order; keys with none are left out."""
+    last = marks.groupBy(key, mark).agg(F.max_by(add, order).alias("_on")).where("_on")
+    return last.groupBy(key).agg(F.array_sort(F.collect_list(mark)).alias("marks"))
