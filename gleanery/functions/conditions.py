@@ -164,3 +164,14 @@ def parse_conditions(df: DataFrame, key: str, text: str, names: dict[str, str],
 
     ship(df.sparkSession)
     return df.select(F.col(key).cast("long"), text).mapInPandas(by_batch, f"{key} long, frame string, args map<string,string>")
+
+
+def normalised(df: DataFrame, key: str, text: str, names: dict[str, str]) -> DataFrame:
+    """(key, text) with the text in normal form."""
+
+    def by_batch(batches):
+        for batch in batches:
+            yield pd.DataFrame({key: batch[key], text: [normalise(t or "", names) for t in batch[text]]})
+
+    ship(df.sparkSession)
+    return df.select(F.col(key).cast("long"), text).mapInPandas(by_batch, f"{key} long, {text} string")

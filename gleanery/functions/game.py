@@ -79,3 +79,11 @@ def tier_multiplier(tier: Column, multipliers: list[float]) -> Column:
 
 def ticks(seconds: Column) -> Column:
     return F.ceil(F.round(seconds / 0.6, 9)).cast("long")
+
+
+#: Points of a league task by its difficulty.
+TASK_POINTS = {"easy": 10, "medium": 30, "hard": 80, "elite": 200, "master": 400}
+
+
+def task_points(difficulty: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in TASK_POINTS.items() for x in kv)), F.lower(difficulty))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
@@ -228,3 +228,41 @@ def expanded(text: Column | str) -> Column:
 @F.pandas_udf(StringType())
 def _expanded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else expand(t))
+
+
+def section(c: Column, name: str) -> Column:
+    """What a parameter of a page's template holds, up to the next mark of its own level."""
+    ship()
+    return _section(c, F.lit(name))
+
+
+@F.pandas_udf(StringType())
+def _section(text: pd.Series, name: pd.Series) -> pd.Series:
+    return pd.Series([section_of(t or "", n) for t, n in zip(text, name)])
+
+
+def section_of(text: str, name: str) -> str | None:
+    head = re.search(r"\|\s*" + re.escape(name) + r"\s*=\s*", text)
+    if not head:
+        return None
+    depth, at = 0, head.end()
+    for m in re.compile(r"\{\{|\[\[|\}\}|\]\]|\|").finditer(text, head.end()):
+        if depth == 0 and m[0] in ("|", "}}"):
+            at = m.start()
+            break
+        depth += {"{{": 1, "[[": 1, "}}": -1, "]]": -1}.get(m[0], 0)
+        at = len(text)
+    return text[head.end() : at].strip() if at > head.end() else None
+
+
+def typed_links(df: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
+    """(key, text) with every link [label](wiki:name) whose name is known (name in lower case, type) made [label](type:name). The names that texts
+    link to are found first and joined, so the dictionary stays where it is."""
+    pattern = r"\[([^\]]+)\]\(wiki:((?:[^()]|\([^)]*\))+)\)"
+    names = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
+    asked = df.select(F.explode(F.array_distinct(names)).alias("said")).distinct().withColumn("name", F.lower("said"))
+    types = asked.join(known, "name").groupBy("said").agg(F.min("type").alias("type"))
+    linked = df.select(key, F.explode(F.array_distinct(names)).alias("said")).join(types, "said")
+    own = linked.groupBy(key).agg(F.collect_list(F.struct("said", "type")).alias("links"))
+    put = lambda t, x: F.replace(t, F.concat(F.lit("](wiki:"), x["said"], F.lit(")")), F.concat(F.lit("]("), x["type"], F.lit(":"), x["said"], F.lit(")")))
+    return df.join(own, key, "left").select(key, F.when(F.col("links").isNull(), F.col(text)).otherwise(F.aggregate("links", F.col(text), put)).alias(text))

@@ -88,3 +88,19 @@ def skills_mask(c: Column, members: dict[str, int], groups: dict[str, list[str]]
             whole[group] |= members[n]
     pairs = F.create_map(*(F.lit(x) for kv in whole.items() for x in kv))
     return F.aggregate(F.split(F.lower(c), ","), F.lit(0), lambda a, s: a.bitwiseOR(F.coalesce(F.try_element_at(pairs, strip(s)), F.lit(0))))
+
+
+def region_label(c: Column, known: list[str]) -> Column:
+    """The first region that a label names: of alternatives the first, of regions together the first; null for none or an unknown one."""
+    plain = F.regexp_replace(c, "(?s)<!--.*?-->", "")
+    first = F.lower(strip(F.substring_index(F.substring_index(plain, ",", 1), "&", 1)))
+    return F.when(first.isin(known), first)
+
+
+def enum_label(c: Column, labels: list[str], aliases: dict[str, str]) -> Column:
+    """The label that a text is, or that it's another name of, or else the first that it holds."""
+    low = F.lower(strip(c))
+    exact = F.when(low.isin(labels), low)
+    other = F.try_element_at(F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv)), low) if aliases else F.lit(None).cast("string")
+    held = F.get(F.filter(F.array(*map(F.lit, labels)), lambda x: F.contains(low, x)), 0)
+    return F.coalesce(exact, other, held)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gleanery.cluster import shared_folder
 from gleanery.operators import accounts, graphs, joins, links, lookups, requirements, sequences, sinks, spatial
 from gleanery.operators.base import table, with_point
-from gleanery.plans.registry import query
+from gleanery.plans.registry import flat, query
 from gleanery.streaming import events as streams
 
 # --- lookups ---------------------------------------------------------------------------------------------------------
@@ -55,10 +55,10 @@ def root_rows(spark, sf):
     return lookups.root_rows(rows).select("p_partkey")
 
 
-@query("select p_partkey, list_filter([lower(p_brand), lower(p_type)], lambda x: x <> '') as options, lower(p_type) = 'economy' as has from part")
+@query("select p_partkey, lower(p_brand) || ',' || lower(p_type) as options, lower(p_type) = 'economy' as has from part")
 def option_lists(spark, sf):
     said = F.concat(F.lower("p_brand"), F.lit(" , "), F.lower("p_type"), F.lit(","))
-    return table(spark, sf, "part").select("p_partkey", lookups.option_list(said).alias("options"), lookups.has_option(said, "Economy").alias("has"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(lookups.option_list(said), ",").alias("options"), lookups.has_option(said, "Economy").alias("has"))
 
 
 @query("select p_partkey from part where (contains(lower(p_name), 'ring') or contains(lower(p_name), 'bolt')) and not contains(lower(p_name), 'red') and p_type in ('ECONOMY', 'PROMO')")
@@ -67,10 +67,10 @@ def named_like(spark, sf):
     return table(spark, sf, "part").where(fits).select("p_partkey")
 
 
-@query("select p_partkey from part where contains(lower(p_name), 'ring') and p_size = 10 order by p_partkey limit 5")
+@query("select p_partkey from part where contains(lower(p_name), 'ring') and p_size > 0 and p_type = 'ECONOMY' order by p_partkey limit 5")
 def criteria_search(spark, sf):
     rows = table(spark, sf, "part").withColumn("text", F.col("p_name"))
-    return lookups.widest(rows, 5, "p_partkey", text="Ring", p_size=10, p_brand=None).select("p_partkey")
+    return lookups.widest(rows, 5, "p_partkey", text="Ring", p_type="ECONOMY", p_brand=None).select("p_partkey")
 
 
 # --- joins -----------------------------------------------------------------------------------------------------------
@@ -156,20 +156,20 @@ def label_histogram(spark, sf):
     return table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 7).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("select o_custkey, o_orderstatus, list(o_orderkey order by o_orderkey) as orders from orders group by 1, 2")
+@query("select o_custkey, o_orderstatus, string_agg(o_orderkey::varchar, ',' order by o_orderkey) as orders from orders group by 1, 2")
 def map_of_lists(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.array_sort(F.collect_list("o_orderkey")).alias("orders"))
+    return table(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), ",").alias("orders"))
 
 
-@query("select user_id, list(event_type order by first) as types from (select user_id, event_type, min(event_id) as first from events group by 1, 2) group by 1")
+@query("select user_id, string_agg(event_type, ',' order by first) as types from (select user_id, event_type, min(event_id) as first from events group by 1, 2) group by 1")
 def first_occurrences(spark, sf):
     seen = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda r: r["event_type"])
-    return table(spark, sf, "events").groupBy("user_id").agg(sequences.first_occurrences(seen).alias("types"))
+    return table(spark, sf, "events").groupBy("user_id").agg(F.array_join(sequences.first_occurrences(seen), ",").alias("types"))
 
 
-@query("select l_suppkey, list_sort(list(distinct l_returnflag)) as flags from lineitem group by 1")
+@query("select l_suppkey, string_agg(distinct l_returnflag, ',' order by l_returnflag) as flags from lineitem group by 1")
 def gathered_sets(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("flags"))
+    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags"))
 
 
 @query("select l_orderkey, count(distinct l_returnflag) = 1 as one from lineitem group by 1")
@@ -326,9 +326,9 @@ def links_between(spark, sf):
     return links.between(_links(spark, sf), "P1", "P10").select("link")
 
 
-@query(f"select dst_place, list(l order by l) as links from {_LINKS} where src_place = 'ANYWHERE' group by 1")
+@query(f"select dst_place, string_agg(l::varchar, ',' order by l) as links from {_LINKS} where src_place = 'ANYWHERE' group by 1")
 def links_reachable(spark, sf):
-    return links.reachable_from(_links(spark, sf), links.ANYWHERE)
+    return flat(links.reachable_from(_links(spark, sf), links.ANYWHERE))
 
 
 _NEAR = "greatest(abs({a}x - {b}x), abs({a}y - {b}y))"
@@ -376,12 +376,12 @@ def route_steps(spark, sf):
 
 # --- tiles -----------------------------------------------------------------------------------------------------------
 
-_CELLS = "(select c % 40 as x, c // 40 as y, c % 7 as component from (select c_custkey as c from customer where c_custkey % 3 = 0) where c < 1600)"
+_CELLS = "(select c % 40 as x, c // 40 as y, c % 7 as component from (select c_custkey as c from customer where c_custkey % 3 <> 1) where c < 1600)"
 
 
 def _cells(spark, sf):
     c = F.col("c_custkey")
-    return table(spark, sf, "customer").where("c_custkey % 3 = 0 and c_custkey < 1600").select((c % 40).alias("x"), F.floor(c / 40).cast("long").alias("y"), (c % 7).alias("component"))
+    return table(spark, sf, "customer").where("c_custkey % 3 <> 1 and c_custkey < 1600").select((c % 40).alias("x"), F.floor(c / 40).cast("long").alias("y"), (c % 7).alias("component"))
 
 
 @query(f"""select id, component from (select s_suppkey as id, component, row_number() over (partition by s_suppkey order by greatest(abs(x - px), abs(y - py)), y - py, x - px) as r from
@@ -474,10 +474,10 @@ def named_timers(spark, sf):
     return streams.timers(table(spark, sf, "events").select((F.col("user_id") % 50).alias("name"), "ts", action.alias("action")), 3600)
 
 
-@query("select user_id, list(k order by k) as marks from (select user_id, event_type as k, max_by(value, event_id) as v from events group by 1, 2) where v > 50 group by 1")
+@query("select user_id, string_agg(k, ',' order by k) as marks from (select user_id, event_type as k, max_by(value, event_id) as v from events group by 1, 2) where v > 50 group by 1")
 def marker_sets(spark, sf):
     marks = table(spark, sf, "events").select("user_id", F.col("event_type").alias("mark"), "event_id", (F.col("value") > 50).alias("add"))
-    return streams.marker_sets(marks, "user_id", "mark", "event_id", "add")
+    return flat(streams.marker_sets(marks, "user_id", "mark", "event_id", "add"))
 
 
 @query("select name from (select 'a/' || (p_partkey % 3) || '/' || p_partkey as name, p_partkey % 3 as parent from part where p_partkey < 60 ) qualify row_number() over (partition by parent order by name) > 10 union all select 'a/b/c/d/e'")

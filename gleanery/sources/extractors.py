@@ -128,3 +128,16 @@ def classifier_rows(response: DataFrame, text: str, known: DataFrame) -> tuple[D
     parts = F.split("line", r"\|", 2)
     rows = lines.select(markup.strip(F.get(parts, 0)).alias("name"), F.explode(F.split(F.get(parts, 1), ",")).alias("tag")).withColumn("tag", F.lower(markup.strip(F.col("tag")))).where("tag != ''")
     return rows.join(known, "tag", "left_semi").select("name", "tag"), rows.join(known, "tag", "left_anti").select("name", "tag")
+
+
+def matched_tags(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, tag) with the known tag that a tag is, or is but for spaces and underscores, or (above three letters) holds or is part of; the first
+    in order, exact ones before others. known: a vocabulary, one column."""
+    plain = lambda c: F.regexp_replace(F.lower(c), "[ _]", "")
+    words = known.toDF("_known").withColumn("_plain", plain(F.col("_known")))
+    asked = rows.select("tag").distinct().withColumn("_said", plain(F.col("tag")))
+    part = (F.char_length("_said") > 3) & (F.char_length("_plain") > 3) & (F.contains("_said", "_plain") | F.contains("_plain", "_said"))
+    rank = F.when(F.col("_known") == F.col("tag"), 0).when(F.lower("tag") == F.col("_known"), 1).when(F.regexp_replace(F.lower("tag"), " ", "_") == F.col("_known"), 2).when(F.col("_plain") == F.col("_said"), 3).when(part, 4)
+    met = asked.crossJoin(F.broadcast(words)).withColumn("_rank", rank).where("_rank is not null")
+    best = met.groupBy("tag").agg(F.min_by("_known", F.struct("_rank", "_known")).alias("_best"))
+    return rows.join(best, "tag").select("name", F.col("_best").alias("tag"))
