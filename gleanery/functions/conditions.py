@@ -28,7 +28,7 @@ _TYPED_LINK = re.compile(r"\[[^\]]+\]\((item|quest|npc|monster|location|equipmen
 
 NEGATION = r"(?P<neg>(?:does|do|is|are|has|have|did) not )?"
 NUMBER = r"(?P<count>\d[\d,]*|" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + ")"
-THING = r"(?P<item>\{(?:item|equipment)\}|[a-z' -]+?)"
+THING = r"(?P<item>\{(?:item|equipment)\}|(?:(?! and | but )[a-z' -])+?)"
 POSSESS = r"(?:have|has|own|owns|carry|carries|carrying|holding|hold|holds|bring|brings)"
 
 
@@ -100,7 +100,7 @@ RULES = [
     Rule("cast_count", r"(?:has |have )?cast (?:the )?(?P<spell>.+?) (?P<count>\d+) times?$"),
     Rule("in_combat", rf"{NEGATION}(?:is |are )?in combat"),
     Rule("has_event_action", rf"{NEGATION}(?:has|have) (?P<action>[a-z]+ed)(?: (?P<object>.+))?$"),
-    Rule("has_item", rf"{NEGATION}{POSSESS} (?:{NUMBER} )?(?:of )?{THING}(?: in (?:their |the )?(?P<where>inventory|bank|possession))?$"),
+    Rule("has_item", rf"{NEGATION}{POSSESS} (?:{NUMBER} )?(?:of )?{THING}(?: in (?:their |the player's |the )?(?P<where>inventory|bank|possession))?$"),
     Rule("outcome", r"(?P<outcome>succeeds?|fails?|wins?|loses?|dies|succeeded|failed|won|lost|died)(?: .*)?$"),
     Rule("event_past_tense", r"(?P<action>[a-z]+ed) (?:the |an? )?(?P<object>.+)$"),
     Rule("meta_predicate", r"(?:any|one|both|all|none) of the (?:above|following)"),

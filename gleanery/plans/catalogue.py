@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import conditions, dialogue, game, markup, numeric
 from gleanery.operators import accounts, graphs, joins, lookups, requirements, sequences, sinks, spatial
 from gleanery.operators.base import table, with_point
-from gleanery.plans.registry import oracle_sql, queries, query
+from gleanery.plans.registry import flat, oracle_sql, queries, query
 from gleanery.streaming import events as streams
 
 # --- lookups and predicates ------------------------------------------------------------------------------------------
@@ -513,13 +513,8 @@ def distances_from(spark, sf):
     return graphs.distances(_roads(spark, sf), spark.createDataFrame([(0,), (5,)], "node long"), 4)
 
 
-@query()
-def area_ports(spark, sf):
-    cells = _tiles(spark, sf).select("x", "y", F.lit(1).cast("long").alias("component"))
-    return spatial.ports(cells, _owned(spark, sf))
-
-
-@query()
+@query(f"""{_COSTS}, p as (select 24::bigint as node, 0 as back union all select (select min(e.src) from e join c a on a.node = e.src join c b on b.node = p.node where e.dst = p.node and a.cost + e.weight = b.cost), back + 1 from p where p.node <> 0)
+select (select max(back) from p) - back as step, node, cost from p join c using (node)""")
 def shortest_path_steps(spark, sf):
     return graphs.path_steps(graphs.shortest_paths(_roads(spark, sf), spark.range(1)), 24)
 
@@ -583,6 +578,16 @@ def component_borders(spark, sf):
     return spatial.component_borders(tile_owners(spark, sf).withColumnRenamed("owner", "component"))
 
 
+@query(f"""with o as materialized ({_OWNERS}),
+m as (select 0 as axis, least(a.owner, b.owner) as a, greatest(a.owner, b.owner) as b, a.owner, a.x as across, a.y as along from o a join o b on b.x = a.x + 1 and b.y = a.y and a.owner <> b.owner
+union all select 1, least(a.owner, b.owner), greatest(a.owner, b.owner), a.owner, a.y, a.x from o a join o b on b.x = a.x and b.y = a.y + 1 and a.owner <> b.owner),
+r as (select axis, a, b, owner, across, min(along) as first, max(along) as last from (select *, along - row_number() over (partition by axis, a, b, owner, across order by along) as run from m) group by all)
+select a, b, owner, 1 as component, 1 as "to", case axis when 0 then across else (first + last) // 2 end as x, case axis when 0 then (first + last) // 2 else across end as y, last - first + 1 as width from (select axis, a, b, owner, across, first, last from r)""".replace("group by all", "group by axis, a, b, owner, across, run"))
+def area_ports(spark, sf):
+    cells = _tiles(spark, sf).select("x", "y", F.lit(1).cast("long").alias("component"))
+    return spatial.ports(cells, _owned(spark, sf))
+
+
 # --- scalar functions ------------------------------------------------------------------------------------------------
 
 
@@ -782,15 +787,24 @@ def tree_parse(spark, sf):
     return dialogue.trees(_transcripts(spark, sf)).groupBy("page_id").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
 
 
-@query()
+@query("""with t as (select conv_id as page_id, role, turn, row_number() over (partition by conv_id order by turn) - 1 as addr from conversations),
+n as (select page_id, count(*) as n from t group by 1),
+s(k, op, text, speaker, falls, targets, labels) as (values (0, 'MENU', 'Pick', null, false, [1, 6], 'Yes,No'), (1, 'SPEAK', 'Yes', 'Player', true, [], ''), (2, 'JUMP_IF', 'has item', null, true, [4], 'has item'),
+(3, 'JUMP', '', null, false, [7], ''), (4, 'SPEAK', 'Here.', 'Guide', true, [], ''), (5, 'JUMP', '', null, false, [7], ''), (6, 'SPEAK', 'No', 'Player', true, [], ''), (7, 'END', 'end', null, false, [], ''), (8, 'END', '', null, false, [], ''))
+select page_id, addr::int as addr, 'SPEAK' as op, 'Turn ' || turn as text, null as section, case role when 'user' then 'Player' else 'Guide' end as speaker, true as falls, '' as targets, '' as labels, null::varchar as error from t
+union all select page_id, (n + k)::int, op, text, 'Choice', speaker, falls, array_to_string(list_transform(targets, lambda x: x + n), ','), labels, null from n, s""")
 def tree_flatten(spark, sf):
-    return dialogue.programs(dialogue.trees(_transcripts(spark, sf)))
+    return flat(dialogue.programs(dialogue.trees(_transcripts(spark, sf))))
 
 
-@query()
+@query("""select p_partkey as key, 'quest_state' as frame, 'quest=the quest;state=completed' as args from part union all
+select p_partkey, 'has_item', 'count=' || (p_size + 1) || ';item=' || case p_name when 'red ring' then '{item}' else p_name end || ';neg=do not;where=bank' from part
+where p_name = 'red ring' or not regexp_matches(p_name, '(^| )(ring|widget)($| )')""")
 def condition_frames(spark, sf):
     said = F.concat(F.lit("If you don't have "), (F.col("p_size") + 1).cast("string"), F.lit(" "), F.col("p_name"), F.lit(" in your bank and the player has completed the quest."))
-    return conditions.parse_conditions(table(spark, sf, "part").select("p_partkey", said.alias("said")), "p_partkey", "said", {"ring": "item", "red ring": "item", "widget": "item"})
+    found = conditions.parse_conditions(table(spark, sf, "part").select(F.col("p_partkey").alias("key"), said.alias("said")), "key", "said", {"ring": "item", "red ring": "item", "widget": "item"})
+    args = F.array_join(F.transform(F.array_sort(F.map_entries("args")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return found.select("key", "frame", args.alias("args"))
 
 
 @query("""select distinct conv_id as key, n_name as name, 'word' as type from conversations, (values ('tion'), ('heat'), ('that'), ('with')) t(n_name)
