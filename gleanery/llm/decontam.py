@@ -14,8 +14,8 @@ window reaches `similarity`.
 3. Pairs within the radius are verified by exact similarity.
 
 Everything is DataFrame expressions. Scale: one pass over the documents with no shuffle of text; the items' shingles and
-blocks (some 20 kB an item) are broadcast up to `broadcast_items` items and shuffled beyond. What is shuffled is windows at shared shingles; pairs meet
-by equality on (size, block, value) and are tried in the first block that fits only.
+blocks (some 20 kB an item) are broadcast up to `broadcast_items` items and shuffled beyond; then a document's shingles are shuffled with their
+places, and what's left of those meets the document's array again, once. What is shuffled besides is windows at shared shingles; pairs meet by equality on (size, block, value) and are tried in the first block that fits only.
 
 Defined cases: null and empty texts and items without words leak nothing and aren't leaked; repeated items are items of their
 own, repeated rows and rows of one doc_id are one document, rows with a null doc_id one more; documents shorter than an item
@@ -93,15 +93,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, radiu
     # The items' widths are at most five values; their number and longest size are one row.
     widths = sorted(r.width for r in items.select("width").distinct().collect())
     counted = items.agg(F.count("*").alias("n"), F.max("size").alias("longest")).first()
-    small = (lambda df: F.broadcast(df)) if counted.n <= broadcast_items else (lambda df: df)
+    sent = counted.n <= broadcast_items
+    small = (lambda df: F.broadcast(df)) if sent else (lambda df: df)
     posted = items.select("width", "size", F.explode(F.array_distinct("bag")).alias("shingle")).groupBy("width", "shingle").agg(F.sort_array(F.collect_set("size")).alias("sizes"))
 
     found = None
-    base = source.select("doc_id", words(F.col("text")).alias("hashes"))
+    base = source.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), words(F.col("text")).alias("hashes"))
     for width in widths:
-        at = base.select("doc_id", shingles(F.col("hashes"), width).alias("all")).select("doc_id", "all", F.posexplode_outer("all").alias("start", "shingle"))
+        own = base.select("doc_id", "key", shingles(F.col("hashes"), width).alias("all"))
+        at = own.select("doc_id", "key", "all", F.posexplode_outer("all").alias("start", "shingle"))
         # (The outer form, as the other one computes its array twice, once for a filter; the join drops its empty rows.)
-        at = at.join(small(posted.where(F.col("width") == width).drop("width")), "shingle")
+        known = posted.where(F.col("width") == width).drop("width")
+        if sent:
+            at = at.join(F.broadcast(known), "shingle")
+        else:
+            # Places alone travel, and meet their document's shingles again: two of one key would only try more windows.
+            hits = at.select("key", "start", "shingle").join(known, "shingle").groupBy("key").agg(F.collect_set(F.struct("start", "sizes")).alias("hits"))
+            at = own.join(hits, "key").select("doc_id", "all", F.explode("hits").alias("hit")).select("doc_id", "all", "hit.start", "hit.sizes")
         at = at.select("doc_id", F.lit(width).alias("width"), "start", F.slice("all", F.col("start") + 1, F.lit(counted.longest)).alias("here"), F.explode("sizes").alias("size"))
         found = at if found is None else found.unionByName(at)
     if found is None:

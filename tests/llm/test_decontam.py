@@ -66,3 +66,37 @@ def test_empty_tables(spark):
     d, b = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert decontam.leaks(d.limit(0), b).count() == decontam.leaks(d, b.limit(0)).count() == 0
     assert [(r.doc_id, r.item_id, r.similarity) for r in decontam.leaks(d, b).collect()] == [(1, 1, 1.0)]
+
+
+def test_unbroadcast_plan_moves_places_not_arrays(spark):
+    d, b = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    plan = decontam.leaks(d, b, broadcast_items=0)._jdf.queryExecution().optimizedPlan().toString()
+    arrays = [line for line in plan.splitlines() if "Join" in line and "shingle" in line]
+    assert arrays
+    at = plan.splitlines().index(arrays[0])
+    depth = len(arrays[0]) - len(arrays[0].lstrip(" :+-"))
+    left = next(line for line in plan.splitlines()[at + 1 :] if len(line) - len(line.lstrip(" :+-")) > depth)
+    assert "all" not in left.replace("shingle", "")
+
+
+def test_radius_keeps_pairs_at_the_edge(spark):
+    """Fingerprints of bags of similarity 0.75 to 0.8 lie within the default radius."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(3000):
+        n = rng.choice([30, 60, 120])
+        bag = [rng.getrandbits(64) - (1 << 63) for _ in range(n)]
+        gone = round(n * rng.uniform(0.2, 0.25) / 1.75)  # of the smaller over the larger counts, 0.75 and more stays
+        rows.append((bag, bag[gone:] + [rng.getrandbits(64) - (1 << 63) for _ in range(gone)]))
+    apart = F.bit_count(decontam.simhash(F.col("a")).bitwiseXOR(decontam.simhash(F.col("b"))))
+    got = [r[0] for r in spark.createDataFrame(rows, "a array<long>, b array<long>").select(apart).collect()]
+    assert sum(x <= 23 for x in got) >= 0.999 * len(got)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(2)
+    item = " ".join(f"v{rng.randrange(400)}" for _ in range(30))
+    text = " ".join(f"w{rng.randrange(4000)}" for _ in range(120_000))
+    docs = spark.createDataFrame([(1, f"{text} {item} {text}"), (2, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.window_start, r.similarity) for r in decontam.leaks(docs, items).collect()] == [(1, 7, 120_000, 1.0)]
