@@ -32,7 +32,7 @@ def test_defined_cases_and_exactness_when_all_is_reranked(spark):
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, perm string")
     index, pivots = permutation.build(df, pivots=16, length=16)
     got = {}
-    for r in permutation.search(index, pivots, index.where("vec_id % 20 = 0"), part=1.0, block_rows=30).collect():
+    for r in permutation.search(index, pivots, index.where("vec_id % 20 = 0"), part=1.0, block_rows=30, query_rows=2).collect():
         got.setdefault(r.query_id, []).append((r.rank, -r.score, r.vec_id))
     want = brute([r for r in rows if r[0] != 206], lambda i: i % 20 == 0)
     assert {q: [(s, v) for _, s, v in sorted(g)] for q, g in got.items()} == want
@@ -53,6 +53,6 @@ def test_recall(spark):
         got.setdefault(r.query_id, {})[r.vec_id] = r.score
     assert set(got) == set(want)
     hits = [len(set(got[q]) & {j for _, j in w}) / len(w) for q, w in want.items()]
-    assert np.mean(hits) >= 0.9, np.mean(hits)
+    assert np.mean(hits) >= 0.95, np.mean(hits)
     vectors = {i: np.array(v, float) for i, v in rows}
     assert all(abs(s - vectors[q] @ vectors[v]) < 1e-12 for q, g in got.items() for v, s in g.items())
