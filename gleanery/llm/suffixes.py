@@ -629,7 +629,7 @@ def digest(spans: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents, repeated strings taken out of their texts; of a character that loses some of its bytes, the others go too.
-    n_chars, where there is one, follows. Documents that had a text and have none left go."""
+    n_chars, where there is one, follows. A document with nothing left stays, with an empty text."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     spans = repeated_spans(docs, carry=others)
 
@@ -637,8 +637,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts, runs = batch.column(1).to_pylist(), batch.column(3).to_pylist()
             left = [kept(t, r).decode("utf-8", "ignore") if r else t for t, r in zip(texts, runs)]
-            stay = pa.array([bool(x) or not t for x, t in zip(left, texts)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string()), batch.column(2)], names=["doc_id", "text", "rest"]).filter(stay)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string()), batch.column(2)], names=["doc_id", "text", "rest"])
 
     out = spans.mapInArrow(rows, StructType(spans.schema.fields[:3]))
     columns = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col("rest").getField(c) for c in others}
