@@ -9,7 +9,8 @@ there: the forward step looks back along the path over the pieces that end at th
 its nodes, so a prefix is scored once; at its last node a pre-token stores its count.
 
 Scale: one pass, no shuffle: each task keeps a trie over its own distinct pre-tokens. When the trie reaches its bound of
-nodes it's begun anew, which costs time and changes no count.
+nodes it's begun anew, which costs time and changes no count. A pre-token has DEEPEST nodes at most: what lies beyond is scored along the
+pre-token alone, with the scores in mind that a piece can reach back to.
 
 Defined cases: null and empty texts have no tokens; single bytes outside the vocabulary count as pieces of the lowest
 score; repeated rows count as often as they occur; empty tables give no rows; other columns are ignored.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections import deque
 from collections.abc import Iterator
 from math import log
 
@@ -28,6 +30,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 RANK_SHIFT = 10.0
+#: Bytes of a pre-token that have nodes.
+DEEPEST = 512
 #: A pre-token: a word with the one blank before it, another run of visible characters, or a run of white space.
 PRE_TOKEN = r" ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+"
 
@@ -53,7 +57,7 @@ class Trie:
         s = token.encode()
         child, best, count, scores = self.child, self.best, self.count, self.scores
         node, path = 0, [0]
-        for j, byte in enumerate(s, 1):
+        for j, byte in enumerate(s[:DEEPEST], 1):
             key = node << 8 | byte
             node = child.get(key, 0)
             if not node:
@@ -69,7 +73,19 @@ class Trie:
                 best.append(top)
                 count.append(fewest)
             path.append(node)
-        return count[node]
+        return count[node] if len(s) <= DEEPEST else self._beyond(s, path)
+
+    def _beyond(self, s: bytes, path: list[int]) -> int:
+        """Tokens in a pre-token that goes on below its last node."""
+        near = deque(((self.best[n], self.count[n]) for n in path[-self.longest :]), maxlen=self.longest)
+        for j in range(len(path), len(s) + 1):
+            found = (near[-1][0] + self.scores.get(s[j - 1 : j], self.unknown), -near[-1][1] - 1)
+            for back in range(2, len(near) + 1):
+                score = self.scores.get(s[j - back : j])
+                if score is not None:
+                    found = max(found, (score + near[-back][0], -near[-back][1] - 1))
+            near.append((found[0], -found[1]))
+        return near[-1][1]
 
     def __call__(self, token: str) -> int:
         n = self.terminal.get(token)

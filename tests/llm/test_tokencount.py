@@ -27,6 +27,22 @@ def test_trie_matches_every_segmentation():
             assert trie(token) == plain(scores, trie.unknown, token.encode())[1]
 
 
+def test_long_pre_tokens_have_few_nodes(monkeypatch):
+    rng = random.Random(6)
+    scores = {b"a": -2.0, b"b": -2.5, b"ab": -3.0, b"ba": -4.5, b"aba": -5.5, b"bb": -3.5, b"abab": -6.0}
+    long = "".join(rng.choice("ab") for _ in range(20_000))
+    whole = tokencount.Trie(scores, 10**6)
+    n = whole.insert(long)
+    assert len(whole.best) == tokencount.DEEPEST + 1
+    monkeypatch.setattr(tokencount, "DEEPEST", 10**6)
+    assert tokencount.Trie(scores, 10**6).insert(long) == n
+    monkeypatch.setattr(tokencount, "DEEPEST", 3)
+    trie = tokencount.Trie(scores, 10**6)
+    for _ in range(300):
+        token = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
+        assert trie(token) == plain(scores, trie.unknown, token.encode())[1]
+
+
 def test_shared_prefixes_are_scored_once():
     trie = tokencount.Trie({b"a": -1.0}, 1000)
     for t in ("aaaa", "aaab", "aaa"):
