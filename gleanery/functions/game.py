@@ -87,3 +87,8 @@ TASK_POINTS = {"easy": 10, "medium": 30, "hard": 80, "elite": 200, "master": 400
 
 def task_points(difficulty: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in TASK_POINTS.items() for x in kv)), F.lower(difficulty))
+
+
+def diary_rewards(df: DataFrame, rates: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what the rates (a fixed table by place and tier) give for their keys; rows that it doesn't name go."""
+    return df.join(F.broadcast(rates), keys)

@@ -266,3 +266,68 @@ def typed_links(df: DataFrame, key: str, text: str, known: DataFrame) -> DataFra
     own = linked.groupBy(key).agg(F.collect_list(F.struct("said", "type")).alias("links"))
     put = lambda t, x: F.replace(t, F.concat(F.lit("](wiki:"), x["said"], F.lit(")")), F.concat(F.lit("]("), x["type"], F.lit(":"), x["said"], F.lit(")")))
     return df.join(own, key, "left").select(key, F.when(F.col("links").isNull(), F.col(text)).otherwise(F.aggregate("links", F.col(text), put)).alias(text))
+
+
+_ROWS = ArrayType(ArrayType(StringType()))
+
+
+def table_rows(c: Column | str) -> Column:
+    """Cells of every row of the first wiki table of a text, headings left out, marked up as they were."""
+    ship()
+    return _table_rows(c)
+
+
+@F.pandas_udf(_ROWS)
+def _table_rows(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: wiki_table(t or ""))
+
+
+def wiki_table(text: str) -> list[list[str]]:
+    start, end = text.find("{|"), text.find("|}")
+    rows: list[list[str]] = []
+    if start < 0:
+        return rows
+    for block in re.split(r"(?m)^\|-.*$", text[start : end if end >= 0 else len(text)])[1:]:
+        cells = [c.strip() for line in re.split(r"(?m)^\|(?![-}])", block)[1:] for c in line.split("||")]
+        if cells:
+            rows.append(cells)
+    return rows
+
+
+def html_rows(c: Column | str) -> Column:
+    """Texts of the data cells of every table row in a page."""
+    ship()
+    return _html_rows(c)
+
+
+@F.pandas_udf(_ROWS)
+def _html_rows(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: html_table(t or ""))
+
+
+def html_table(text: str) -> list[list[str]]:
+    from html.parser import HTMLParser
+
+    rows: list[list[str]] = []
+
+    class Cells(HTMLParser):
+        open_ = False
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "tr":
+                rows.append([])
+            self.open_ = tag == "td" or self.open_ and tag not in ("tr", "th")
+            if tag == "td" and rows:
+                rows[-1].append("")
+
+        def handle_endtag(self, tag):
+            self.open_ = self.open_ and tag not in ("td", "tr", "table")
+
+        def handle_data(self, data):
+            if self.open_ and rows and rows[-1]:
+                rows[-1][-1] += data
+
+    parser = Cells()
+    parser.feed(text)
+    parser.close()
+    return [[c.strip() for c in r] for r in rows if r]

@@ -154,3 +154,47 @@ def owners(tiles: DataFrame, points: DataFrame, small: int = 10_000, cell: int =
 def cell_at(points: DataFrame, cells: DataFrame) -> DataFrame:
     """Points (x, y) with the component of their tile; 0 where there's none."""
     return points.join(cells, ["x", "y"], "left").withColumn("component", F.coalesce("component", F.lit(0)))
+
+
+def crossings(pairs: DataFrame, steps: DataFrame, limit: int = 20) -> DataFrame:
+    """The pairs (a, b, of tile numbers) whose tiles lie within a number of steps (src, dst) of one another, with that number."""
+    from .graphs import distances
+
+    far = distances(steps, pairs.select(F.col("a").alias("node")).distinct(), limit)
+    return pairs.join(far.select(F.col("source").alias("a"), F.col("node").alias("b"), "hops"), ["a", "b"])
+
+
+def closest_reachable(tiles: DataFrame, start: tuple[int, int], goal: tuple[int, int], corners: bool = True) -> DataFrame:
+    """x, y, hops of the tile that a walk from start ends on: the goal, or, if it can't be reached, of the tiles that can the one nearest to it
+    (most straight steps, then fewest hops, then y, x). All steps cost the same, so it's a spread over the moves."""
+    from .graphs import reachable
+
+    number = lambda x, y: _number(x, y)
+    steps = moves(tiles, corners).select(number("x", "y").alias("src"), number("tx", "ty").alias("dst"))
+    first = tiles.where((F.col("x") == start[0]) & (F.col("y") == start[1])).select(number("x", "y").alias("node"))
+    met = reachable(steps, first).select(F.shiftright("node", 20).alias("x"), F.col("node").bitwiseAND(F.lit((1 << 20) - 1)).alias("y"), "hops")
+    away = F.greatest(F.abs(F.col("x") - goal[0]), F.abs(F.col("y") - goal[1]))
+    best = met.agg(F.min(F.struct(away.alias("away"), "hops", "y", "x")).alias("b"))
+    return best.where("b is not null").select("b.x", "b.y", "b.hops")
+
+
+#: Bits that a wall sets, by type (0 straight, 1 and 3 corner, 2 both sides) and orientation (west, north, east, south first).
+SIDES, CORNERS = (W, N, E, S), (NW, NE, SE, SW)
+TOWARDS = {W: (-1, 0, E), N: (0, 1, S), E: (1, 0, W), S: (0, -1, N), NW: (-1, 1, SE), NE: (1, 1, SW), SE: (1, -1, NW), SW: (-1, -1, NE)}
+
+
+def stamps() -> list[tuple[int, int, int, int, int]]:
+    """type, orientation, dx, dy, bits: what a wall sets on its own tile and on those beyond its sides."""
+    out = []
+    for kind in range(4):
+        for k in range(4):
+            own = {0: [SIDES[k]], 2: [SIDES[k], SIDES[(k + 1) % 4]]}.get(kind, [CORNERS[k]])
+            out += [(kind, k, 0, 0, b) for b in own] + [(kind, k, *TOWARDS[b]) for b in own]
+    return out
+
+
+def stamped(walls: DataFrame) -> DataFrame:
+    """x, y, flags of all tiles that walls (x, y, type, orientation) touch."""
+    marks = F.broadcast(walls.sparkSession.createDataFrame(stamps(), "type int, orientation int, dx int, dy int, bits int"))
+    put = walls.join(marks, ["type", "orientation"])
+    return put.groupBy((F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y")).agg(F.bit_or("bits").alias("flags"))

@@ -814,4 +814,4 @@ def entity_tags(spark, sf):
     tags = dialogue.tag_entities(table(spark, sf, "conversations").withColumnRenamed("conv_id", "key"), names, "key", "text")
     return tags.distinct()
 
-from gleanery.plans import relations, texts  # noqa: E402, F401 - registers its queries
+from gleanery.plans import pages, relations, texts  # noqa: E402, F401 - registers its queries

@@ -141,3 +141,33 @@ def matched_tags(rows: DataFrame, known: DataFrame) -> DataFrame:
     met = asked.crossJoin(F.broadcast(words)).withColumn("_rank", rank).where("_rank is not null")
     best = met.groupBy("tag").agg(F.min_by("_known", F.struct("_rank", "_known")).alias("_best"))
     return rows.join(best, "tag").select("name", F.col("_best").alias("tag"))
+
+
+def page_ids(pages: DataFrame, kinds: tuple[str, ...] = ("item", "monster", "npc"), text: str = "wikitext") -> DataFrame:
+    """title, kind, id: all game ids that a page's infoboxes name, by their kind."""
+    out = None
+    for kind in kinds:
+        rows = extract(pages, kind, text).select("title", F.lit(kind).alias("kind"), F.explode("ids").alias("id")).distinct()
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def linked_items(c: Column) -> Column:
+    """Names that a list of items links to, plain links and picture links alike, in order and once each."""
+    found = F.regexp_extract_all(c, F.lit(r"(?:\[\[|\{\{[Pp]link\|)([^\]|}#]+)"), F.lit(1))
+    return F.array_distinct(F.transform(found, markup.strip))
+
+
+def region_mask(candidates: list[Column], regions: dict[str, int]) -> Column:
+    """Bits of the regions that the first candidate which names any names (lists of labels); 0 for none."""
+    pairs = F.create_map(*(F.lit(x) for kv in regions.items() for x in kv))
+    masks = [F.aggregate(c, F.lit(0), lambda a, r: a.bitwiseOR(F.coalesce(F.try_element_at(pairs, F.lower(r)), F.lit(0)))) for c in candidates]
+    return F.coalesce(*(F.nullif(m, F.lit(0)) for m in masks), F.lit(0))
+
+
+def category_pages(categories: DataFrame, members: DataFrame) -> DataFrame:
+    """category, pages: the pages that are in it themselves: all that it lists less its subcategories, not below 0. categories: category, listed.
+    members: category, page, of subcategories."""
+    below = members.groupBy("category").agg(F.count("*").alias("below"))
+    left = categories.join(below, "category", "left")
+    return left.select("category", F.greatest(F.col("listed") - F.coalesce("below", F.lit(0)), F.lit(0)).alias("pages"))

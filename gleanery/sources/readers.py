@@ -81,3 +81,9 @@ def in_batches(keys: list, fetch, size: int = 50):
     """Rows of a remote lookup of at most `size` keys a call."""
     for at in range(0, len(keys), size):
         yield from fetch(keys[at : at + size])
+
+
+def option_map(spark: SparkSession, path: str) -> DataFrame:
+    """id, options of JSON definitions, one document each: the options that are there, in order."""
+    docs = spark.read.json(path, multiLine=True, schema="id long, ops array<string>")
+    return docs.select("id", F.filter("ops", lambda o: o.isNotNull() & (o != "null") & (o != "")).alias("options"))

@@ -129,3 +129,32 @@ def marker_sets(marks: DataFrame, key: str, mark: str, order: str, add: str) ->
     """Each key's set of marks after all additions and removals (add: true or false), in order; keys with none are left out."""
     last = marks.groupBy(key, mark).agg(F.max_by(add, order).alias("_on")).where("_on")
     return last.groupBy(key).agg(F.array_sort(F.collect_list(mark)).alias("marks"))
+
+
+def batched(texts: DataFrame, key: str, text: str, order: str, size: int = 50, least: int = 4) -> DataFrame:
+    """Each key's distinct texts of a least length with the number of the batch that sends them: in order of first sight, `size` to a batch."""
+    first = texts.where(F.char_length(text) >= least).groupBy(key, text).agg(F.min(order).alias("_first"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_first", text)) - 1
+    return first.select(key, text, F.floor(place / size).cast("int").alias("batch"))
+
+
+def watchdog(events: DataFrame, cooldown: int = 10, most: int = 5, reset: int = 100) -> DataFrame:
+    """actor, tick, respawn number of every respawn: a crash (actor, tick) is followed by one after the cooldown, `most` in a row at most; an actor
+    that was up for `reset` ticks begins anew. Crashes while it's down don't count."""
+
+    def fold(key, frame: pd.DataFrame) -> pd.DataFrame:
+        out, up_since, count = [], 0, 0
+        for tick in sorted(int(t) for t in frame["tick"]):
+            if up_since is None or tick < up_since:
+                continue
+            if tick - up_since >= reset:
+                count = 0
+            if count >= most:
+                up_since = None
+                continue
+            count, up_since = count + 1, tick + cooldown
+            out.append((int(key[0]), up_since, count))
+        return pd.DataFrame(out, columns=["actor", "tick", "respawn"])
+
+    ship(events.sparkSession)
+    return events.select("actor", "tick").groupBy("actor").applyInPandas(fold, "actor long, tick long, respawn int")
