@@ -6,12 +6,13 @@ import atexit
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.cluster import shared_folder, ship
 
-__all__ = ["documents", "drop_at_exit", "held_out", "shared_folder", "ship", "small_batches", "sweep_at_exit", "table", "tokenizer_path", "written"]
+__all__ = ["documents", "drop_at_exit", "held_out", "shared_folder", "ship", "small_batches", "sweep_at_exit", "table", "tokenizer_path", "written", "written_and_counted"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,6 +41,13 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_and_counted(df: DataFrame, which: Column) -> tuple[DataFrame, int]:
+    """written(), and how many of the rows a condition holds for, counted as they're written: no job of its own."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count_if(which).alias("n")))
+    return out, seen.get.get("n", 0)  # a plan that turns out empty has no figures
+
+
 _swept: set[str] = set()
 
 

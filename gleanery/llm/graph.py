@@ -16,18 +16,17 @@ def components(edges: DataFrame) -> DataFrame:
     has a smaller neighbour goes; each round is written to the shared folder, so lineage stays short.
     """
     pairs = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct()
-    pairs = common.written(pairs)
+    pairs, left = common.written_and_counted(pairs, F.lit(True))
     tree = None
-    while not pairs.isEmpty():
+    while left:
         # A root hooks to a smaller one, so pointers never form a cycle.
         parent = common.written(pairs.groupBy("hi").agg(F.min("lo").alias("up")).select(F.col("hi").alias("node"), "up"))
         while True:
             above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            parent = common.written(parent.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
-            if parent.where("moved").isEmpty():
-                break
+            parent, moved = common.written_and_counted(parent.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), F.col("moved"))
             parent = parent.drop("moved")
-        parent = parent.drop("moved")
+            if not moved:
+                break
         if tree is None:
             tree = parent
         else:
@@ -36,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
         for side in ("hi", "lo"):
             step = parent.select(F.col("node").alias(side), F.col("up").alias("top"))
             pairs = pairs.join(step, side, "left").withColumn(side, F.coalesce("top", side)).drop("top")
-        pairs = common.written(pairs.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).where("hi > lo").distinct())
+        pairs = pairs.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).where("hi > lo").distinct()
+        pairs, left = common.written_and_counted(pairs, F.lit(True))
     if tree is None:
         return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = tree.select(F.col("up").alias("node"), F.col("up").alias("component")).distinct()

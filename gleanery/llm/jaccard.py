@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, cell_rows: int = 2000
     shared = postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     postings = common.written(postings.join(shared, "key"))
     rich = postings.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= need).select("node")
-    postings = common.written(postings.join(rich, "node", "left_semi"))
+    postings, placed_rows = common.written_and_counted(postings.join(rich, "node", "left_semi"), F.lit(True))
 
     members = postings.select("node").distinct()
     texts = source.join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
@@ -260,9 +260,9 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, cell_rows: int = 2000
         best = partner.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("n", -F.col("a"), -F.col("b"))).alias("p"))
         now = common.written(best.select("p.a", "p.b").distinct())
         tried = now if tried is None else tried.unionByName(now)
-        found = common.written(verified(now, texts, similarity))
+        found, number_found = common.written_and_counted(verified(now, texts, similarity), F.lit(True))
         links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
+        if not number_found:
             break
         classes = common.written(components(links))
 
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, cell_rows: int = 2000
     labelled = common.written(labelled)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     cells = labelled.join(mixed, "key").join(nodes.select("node", "point", "keys", "n_shingles"), "node")
-    tasks = int(postings.count() // TASK_ROWS) + 1
+    tasks = placed_rows // TASK_ROWS + 1
     calm = cells.where(F.col("members") <= cell_rows).select(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task"), "key", "node", "label", F.lit(0).alias("side"), F.lit(False).alias("two"), "point", "keys")
 
     # Crowded cells: bands of size (neighbours alone can link), cut into blocks; each pair of blocks is a task.
