@@ -46,9 +46,12 @@ def merged_lookup(tables: list[tuple[str, DataFrame]], last_wins: bool) -> DataF
     return rows.groupBy("name").agg(F.min_by(F.struct("type", "id"), F.struct(by, "id")).alias("hit")).select("name", "hit.type", "hit.id")
 
 
-def complete_graph(df: DataFrame, key: str) -> DataFrame:
-    """Every ordered pair of different members of a group of bounded size, such as the stops of a transport network."""
-    return df.select(F.col(key).alias("src")).crossJoin(F.broadcast(df.select(F.col(key).alias("dst")))).where("src != dst")
+def complete_graph(df: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """Every ordered pair of different members, such as the stops of a transport network: as many rows as that takes. One side is
+    broadcast up to `most` members."""
+    other = df.select(F.col(key).alias("dst"))
+    small = other.limit(most + 1).count() <= most
+    return df.select(F.col(key).alias("src")).crossJoin(F.broadcast(other) if small else other).where("src != dst")
 
 
 def prefix_fuzzy(left: DataFrame, right: DataFrame, keys: list[str], text: str, length: int = 30) -> DataFrame:
@@ -82,7 +85,7 @@ METRICS = {
 }
 
 
-def nearest(left: DataFrame, right: DataFrame, small: int = 10_000, cell: int = 64) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, small: int = 256, cell: int = 64) -> DataFrame:
     """Each left row (x, y) with the right row (rid, rx, ry) at the least Chebyshev distance, the least rid among equals.
 
     A right side of at most `small` rows is broadcast and tried whole. A larger one is searched by rings of grid cells: a

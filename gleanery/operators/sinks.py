@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import first_per
+from .base import checkpointed, first_per
 
 
 def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -23,12 +23,16 @@ def insert_or_replace(old: DataFrame, new: DataFrame, keys: list[str], order: st
 
 
 def insert_or_get_id(dimension: DataFrame, values: DataFrame, natural: list[str]) -> DataFrame:
-    """The dimension with the new natural keys added, ids following the largest one in order of the keys. New keys are ranked in
-    one window: they're what a batch adds."""
+    """The dimension with the new natural keys added, ids following the largest one in order of the keys. New keys are ranked inside
+    ranges of them, whose sizes alone are added up in one place."""
     fresh = values.select(*natural).distinct().join(dimension, natural, "left_anti")
-    top = dimension.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = fresh.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.row_number().over(Window.orderBy(*natural)))
-    return dimension.select("id", *natural).unionByName(numbered.select("id", *natural))
+    fresh = checkpointed(fresh.repartitionByRange(*natural).withColumn("_range", F.spark_partition_id()))
+    top = dimension.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    sizes = fresh.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*natural))
+    ranked = fresh.withColumn("_place", place).join(F.broadcast(before), "_range").crossJoin(F.broadcast(top))
+    return dimension.unionByName(ranked.select((F.col("_top") + F.col("_before") + F.col("_place")).cast(dimension.schema["id"].dataType).alias("id"), *natural))
 
 
 def update(old: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:

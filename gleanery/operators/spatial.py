@@ -121,7 +121,7 @@ def tile_runs(cells: DataFrame, size: int = 64) -> DataFrame:
     return cells.groupBy(*region).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(place.alias("place"), F.col("component"))))).alias("cells"))
 
 
-def owners(tiles: DataFrame, points: DataFrame, small: int = 10_000, cell: int = 64) -> DataFrame:
+def owners(tiles: DataFrame, points: DataFrame, small: int = 1000, cell: int = 64) -> DataFrame:
     """Nearest point by Euclidean distance for every tile; ties to the smaller id. Of points in one place only the smallest id
     can own a tile. Up to `small` places are broadcast; more are searched by rings of grid cells, as in joins.nearest."""
     points = points.toDF("owner", "px", "py").groupBy("px", "py").agg(F.min("owner").alias("owner"))

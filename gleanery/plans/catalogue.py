@@ -716,7 +716,7 @@ def lineage(spark, sf):
 
 @query("select time_bucket(interval '1 hour', ts) as tick, event_type, count(*) as n, sum(round(value * 100)::bigint)::bigint as cents from events group by 1, 2")
 def tick_window(spark, sf):
-    return streams.run(streams.ticks(streams.events(spark, sf)), "complete").withColumn("tick", F.col("tick").cast("timestamp_ntz"))
+    return streams.run(streams.ticks(streams.events(spark, sf)), "update", ["tick", "event_type"]).withColumn("tick", F.col("tick").cast("timestamp_ntz"))
 
 
 @query("""select user_id, min(ts) as start, count(*) as n from (select *, sum(new) over (partition by user_id order by ts, event_id) as s from
