@@ -32,7 +32,7 @@ def insert_or_get_id(dimension: DataFrame, values: DataFrame, natural: list[str]
     before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*natural))
     ranked = fresh.withColumn("_place", place).join(F.broadcast(before), "_range").crossJoin(F.broadcast(top))
-    return dimension.unionByName(ranked.select((F.col("_top") + F.col("_before") + F.col("_place")).cast(dimension.schema["id"].dataType).alias("id"), *natural))
+    return dimension.select("id", *natural).unionByName(ranked.select((F.col("_top") + F.col("_before") + F.col("_place")).cast(dimension.schema["id"].dataType).alias("id"), *natural))
 
 
 def update(old: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
