@@ -743,7 +743,13 @@ def baseline_delta(spark, sf):
 @query("select event_id, s as subscriber from events join (values ('click', 'a'), ('click', 'b'), ('error', 'c')) t(e, s) on event_type = e")
 def event_dispatch(spark, sf):
     subscriptions = spark.createDataFrame([("click", "a"), ("click", "b"), ("error", "c")], "event_type string, subscriber string")
-    return streams.dispatch(table(spark, sf, "events"), subscriptions).select("event_id", "subscriber")
+    return streams.run(streams.dispatch(streams.events(spark, sf), subscriptions).select("event_id", "subscriber"), "append")
+
+
+@query("""select user_id % 9 as "to", event_id as seq from events where user_id % 9 < 6""")
+def mailbox_routing(spark, sf):
+    mail = streams.events(spark, sf).select((F.col("user_id") % 9).alias("to"), F.col("event_id").alias("seq"))
+    return streams.run(streams.mailboxes(mail, spark.range(6).select(F.col("id").alias("actor"))), "append")
 
 
 @query("""select user_id % 9 as "to", event_id as seq from (select *, row_number() over (partition by user_id % 9 order by event_id) as r from events where user_id % 9 < 6) where r <= 5""")
