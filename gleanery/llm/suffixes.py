@@ -371,7 +371,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes
     rest = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("boolean")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     total = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = int(total // part_bytes) + 1
+    parts = max(int(total // part_bytes) + 1, 16)
     ranges = max(parts, 64)
     name = f"gleanery_{uuid.uuid4().hex}"
     source = source.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
