@@ -35,7 +35,9 @@ def hops(edges: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
 
 def _spread(edges: DataFrame, roots: DataFrame, limit: int | None) -> DataFrame:
     seen = frontier = checkpointed(roots.toDF("node").distinct().withColumn("hops", F.lit(0)))
-    steps = edges.select(F.col("src").alias("node"), "dst").distinct()
+    # Written once, and through inline(): where one end is computed from the other, the optimizer would infer filters of each
+    # round's nodes from those of the last, each twice as long (checkpoints keep what it knows).
+    steps = checkpointed(edges.select(F.inline(F.array(F.struct(F.col("src").alias("node"), "dst")))).distinct())
     k = 0
     while (limit is None or k < limit) and not frontier.isEmpty():
         k += 1
