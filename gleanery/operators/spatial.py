@@ -78,11 +78,15 @@ def colours(borders: pd.DataFrame) -> dict[int, int]:
 
 
 def nearest_free(points: DataFrame, cells: DataFrame, reach: int = 8) -> DataFrame:
-    """Each point (id, x, y) with the component of the first free tile by (ring, dy, dx), within a reach."""
+    """Each point (id, x, y) with the component of the first free tile by (ring, dy, dx), within a reach. Points in one place
+    are answered once. The places' surroundings are never broadcast: an estimate of their size leaves out the explosion."""
+    wide = 2 * reach + 1
     span = F.sequence(F.lit(-reach), F.lit(reach))
-    asked = points.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span)).withColumn("ring", F.greatest(F.abs("dx"), F.abs("dy")))
-    met = asked.select("id", "ring", "dy", "dx", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y")).join(cells, ["x", "y"])
-    return met.groupBy("id").agg(F.min_by("component", F.struct("ring", "dy", "dx")).alias("component"))
+    asked = points.select("x", "y").distinct().withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span))
+    order = (F.greatest(F.abs("dx"), F.abs("dy")).cast("long") * wide + F.col("dy") + reach) * wide + F.col("dx") + reach
+    asked = asked.select(F.col("x").alias("px"), F.col("y").alias("py"), order.alias("order"), (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
+    met = asked.hint("merge").join(cells, ["x", "y"]).groupBy("px", "py").agg(F.min("order").alias("order"), F.min_by("component", "order").alias("component"))
+    return points.join(met.withColumnsRenamed({"px": "x", "py": "y"}), ["x", "y"]).groupBy("id").agg(F.min_by("component", "order").alias("component"))
 
 
 def gates(walls: DataFrame, cells: DataFrame) -> DataFrame:
