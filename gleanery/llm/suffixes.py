@@ -360,9 +360,10 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {_DDL[str(f.type)]}" for f in schema)
 
 
-def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes: int = 8 << 20, carry: list[str] | None = None, hot: int = 8000, pass_contexts: int = 8000) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes: int = 8 << 20, carry: list[str] | None = None, hot: int = 8000, pass_contexts: int = 8000, cut_out: bool = False) -> DataFrame:
     """One row per document: doc_id, text, rest (a struct of the columns named in carry), and removed: the start and end, in UTF-8 bytes, of its maximal runs of bytes
-    that strings of `window` bytes cover which also start in a document with a smaller doc_id."""
+    that strings of `window` bytes cover which also start in a document with a smaller doc_id. cut_out: text is what they leave of it, and there's no removed;
+    that's done where the runs are found, as a further Python step would keep two workers for each task."""
     if not 8 <= gram <= window:
         raise ValueError("a gram has 8 to `window` bytes")
     spark = docs.sparkSession
@@ -522,6 +523,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes
         [stored.schema["doc_id"], stored.schema["text"], stored.schema["rest"]]
         + [StructField("removed", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())])))]
     )
+    if cut_out:
+        result = StructType(result.fields[:3])
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -565,6 +568,9 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 26, part_bytes
                 else:
                     own_runs.append((start, end))
         removed = [[{"start": a, "end": b} for a, b in r] for r in runs]
+        if cut_out:
+            texts = pa.array([_outside(t, r).decode("utf-8", "ignore" if r else "strict") for t, r in zip(raw, removed)], pa.string())
+            return pa.table({"doc_id": left.column("doc_id"), "text": texts, "rest": left.column("rest")})
         return pa.table({"doc_id": left.column("doc_id"), "text": left.column("text"), "rest": left.column("rest"), "removed": pa.array(removed, spans_type)})
 
     def _replies(right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -604,7 +610,11 @@ def _pair_index(uh: np.ndarray, uc: np.ndarray, h: np.ndarray, c: np.ndarray) ->
 
 def kept(text: str, removed: list) -> bytes:
     """What remains of a text, in bytes."""
-    raw, out, at = text.encode(), [], 0
+    return _outside(text.encode(), removed)
+
+
+def _outside(raw: bytes | memoryview, removed: list) -> bytes:
+    out, at = [], 0
     for run in removed:
         out.append(raw[at : run["start"]])
         at = run["end"]
@@ -631,15 +641,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents, repeated strings taken out of their texts; of a character that loses some of its bytes, the others go too.
     n_chars, where there is one, follows. A document with nothing left stays, with an empty text."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    spans = repeated_spans(docs, carry=others)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, runs = batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            left = [kept(t, r).decode("utf-8", "ignore") if r else t for t, r in zip(texts, runs)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string()), batch.column(2)], names=["doc_id", "text", "rest"])
-
-    out = spans.mapInArrow(rows, StructType(spans.schema.fields[:3]))
+    out = repeated_spans(docs, carry=others, cut_out=True)
     columns = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col("rest").getField(c) for c in others}
     if "n_chars" in columns:
         columns["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)

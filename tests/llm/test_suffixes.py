@@ -103,3 +103,17 @@ def test_digest_and_empty_table(spark):
     assert (rows[2].n_bytes, rows[2].n_removed, rows[2].n_spans) == (81, 80, 1)
     assert rows[2].kept_sha256 == hashlib.sha256(b"x").hexdigest() and rows[1].n_removed == 0
     assert suffixes.digest(suffixes.repeated_spans(df.limit(0))).count() == 0
+
+
+def test_repeats_are_cut_out_where_they_are_found(spark):
+    docs = [(k, f"{'é' * 30}{k}{'xyz' * 20}") for k in (1, 2, 3)] + [(4, None), (5, "é" * 30), (None, "xyz" * 20)]
+    want = []
+    for k, t, spans in plain(docs, 50):
+        raw = t.encode()
+        edges = [0, *(x for span in spans for x in span), len(raw)]
+        want.append((k, b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8", "ignore")))
+    out = suffixes.without_repeats(spark.createDataFrame([(k, t, 0, "en") for k, t in docs], "doc_id long, text string, n_chars long, lang string"))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
+    assert all(r.n_chars == len(r.text) and r.lang == "en" for r in out.collect())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan  # one worker a task
