@@ -127,3 +127,45 @@ def test_components(spark):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in up if any(x in e and e[0] != e[1] for e in edges)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [0, 1, 40, graph.AT_ONCE])
+def test_components_by_rounds_and_in_one_task(spark, at_once):
+    rng = random.Random(at_once)
+    chain = [(k, k + 1) for k in rng.sample(range(1000, 1200), 180)]
+    star = [(9000, k) for k in range(8000, 8030)]
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(170)] + chain + star + [(2**62, -(2**62)), (-5, 2**62)]
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for x in sorted(near):
+        todo = [] if x in want else [x]
+        while todo:
+            y = todo.pop()
+            if y not in want:
+                want[y] = x
+                todo += near[y]
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"), at_once).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_small_graphs_take_few_jobs(spark):
+    rng = random.Random(2)
+    edges = spark.createDataFrame([(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(300)], "a long, b long")
+    got = jobs_of(spark, "components", lambda: graph.components(edges).collect())
+    assert 0 < got <= 6, got  # 43 by rounds
+    rows = spark.createDataFrame(corpus(1, 60, 8), "doc_id long, text string")
+    got = jobs_of(spark, "near", lambda: jaccard.near_duplicates(rows).collect())
+    assert 0 < got <= 90, got  # 120 by rounds
