@@ -11,7 +11,8 @@ windows, and from every other document its best-scored and some further ones, al
 Scale: training uses a bounded sample of labelled rows (`sample` toxic ones and twice as many others, the first by a hash
 of doc_id, of at most `sample_letters` letters a class: a text that doesn't fit what is left is passed over), in one
 executor task, and gives a model of fixed size, which is broadcast. Scoring is one pass with no shuffle; a very long text goes through in
-pieces of PIECE letters whose windows are those of the whole text, so memory is bounded whatever its length.
+pieces of PIECE letters whose windows are those of the whole text, so memory is bounded whatever its length. What a word adds to the gates
+depends on its letters alone, so a task computes it once for each word while it keeps the word (KEPT words at most, then it begins anew).
 
 Defined cases: null texts are empty; a text without words is harmless, score 0 and no windows; without a learnable row of both classes
 every score is 0; a null doc_id isn't learned from; of several learnable rows of one doc_id the largest text is learned from, with the
@@ -23,7 +24,8 @@ from __future__ import annotations
 
 import io
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,11 @@ WINDOW, STRIDE = 48, 24
 THRESHOLD = 0.3
 #: Letters of a text that are read at once, and letters of a word; a piece holds a window at least.
 PIECE, LONGEST_WORD = 1 << 17, 1 << 11
+#: Words that a task keeps, and letters of them together; one group of texts may go beyond.
+KEPT, KEPT_LETTERS = 1 << 16, 1 << 20
 _BETWEEN = re.compile(r"[\W_]{2,}")
+#: What _word_letters() marks: \w is isalnum() or "_".
+_RUN = re.compile(r"[^\W_]+")
 
 _in_word: np.ndarray | None = None
 
@@ -89,24 +95,30 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _features(text.lower())[:3]
 
 
-def pieces(text: str) -> Iterator[tuple[tuple, np.ndarray]]:
-    """Features of a text's pieces, and where in each its windows start: together the windows of the whole text. None without words."""
+def _read_features(lowered: str) -> tuple[tuple, int, Callable[[int], int]]:
+    words, grams, start, place = _features(lowered)
+    return (words, grams, start), len(words), lambda k: int(place[start[k]])
+
+
+def pieces(text: str, read: Callable = _read_features) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Features of a text's pieces, and where in each its windows start: together the windows of the whole text. None without words.
+    read: gives what is yielded of a piece in lower case, its number of words, and where the k-th of them begins."""
     text = text.lower()
     if len(text) > PIECE:
         text = _BETWEEN.sub(" ", text)
     at = 0
     while True:
         last = at + PIECE >= len(text)
-        words, grams, start, place = _features(text[at : at + PIECE])
+        what, n, begins = read(text[at : at + PIECE])
         if last:
             # What is left after the first piece is covered already up to the overlap.
-            starts = np.arange(0, len(words) - STRIDE, STRIDE) if at else windows(len(words))
-            if len(words) and len(starts):
-                yield (words, grams, start), starts
+            starts = np.arange(0, n - STRIDE, STRIDE) if at else windows(n)
+            if n and len(starts):
+                yield what, starts
             return
-        starts = np.arange(0, len(words) - WINDOW, STRIDE)  # the last word may go on in the next piece
-        yield (words, grams, start), starts
-        at += int(place[start[int(starts[-1]) + STRIDE]])
+        starts = np.arange(0, n - WINDOW, STRIDE)  # the last word may go on in the next piece
+        yield what, starts
+        at += begins(int(starts[-1]) + STRIDE)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -130,7 +142,10 @@ def inputs(m: dict, words: np.ndarray, grams: np.ndarray, start: np.ndarray) ->
     if not len(words):
         return np.zeros((0, 2 * DIM), m["word"].dtype)
     size = np.diff(np.append(start, len(grams)))
-    chars = np.add.reduceat(m["gram"][grams].sum(axis=1), start, axis=0) / np.sqrt(size)[:, None].astype(m["word"].dtype)
+    letters = m["gram"][grams[:, 0]]
+    for k in range(1, grams.shape[1]):
+        letters += m["gram"][grams[:, k]]
+    chars = np.add.reduceat(letters, start, axis=0) / np.sqrt(size)[:, None].astype(m["word"].dtype)
     return np.concatenate([m["word"][words], chars], axis=1)
 
 
@@ -214,9 +229,17 @@ def text_logits(m: dict, data: list[tuple], batch: int = 1024, starts: list[np.n
     parts = [inputs(m, *d) for d in data]
     size = np.array([len(x) for x in parts])
     x = np.concatenate([*parts, np.zeros((1, 2 * DIM), np.float32)])
-    af, ab = x @ m["xf"] + m["cf"], x @ m["xb"] + m["cb"]
+    return _gated_logits(m, *_gates(m, x), np.arange(len(x)), size, starts or [windows(n) for n in size], batch)
+
+
+def _gates(m: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the vectors of words add to the gates, of either direction."""
+    return x @ m["xf"] + m["cf"], x @ m["xb"] + m["cb"]
+
+
+def _gated_logits(m: dict, af: np.ndarray, ab: np.ndarray, rows: np.ndarray, size: np.ndarray, starts: list[np.ndarray], batch: int = 1024) -> list[np.ndarray]:
+    """Logits of windows of each text. af, ab: gates; rows: those of the words of all texts in order, and one of no word; size: words of each text."""
     base = np.cumsum(size) - size
-    starts = starts or [windows(n) for n in size]
     count = np.array([len(s) for s in starts])
     begin, end = np.concatenate([s + b for s, b in zip(starts, base)]), np.repeat(base + size, count)
     out = np.zeros(len(begin), np.float32)
@@ -224,7 +247,7 @@ def text_logits(m: dict, data: list[tuple], batch: int = 1024, starts: list[np.n
     for k in range(0, len(begin), batch):
         at = begin[k : k + batch, None] + steps
         mask = (at < end[k : k + batch, None]).astype(np.float32)
-        at = np.where(mask > 0, at, len(x) - 1)
+        at = rows[np.where(mask > 0, at, len(rows) - 1)]
         f, _ = _read(af[at], mask, m["uf"], False, False)
         b, _ = _read(ab[at], mask, m["ub"], True, False)
         out[k : k + batch] = _pool(m, f, b, mask, ())[0]
@@ -372,27 +395,82 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, sample_letters:
     return dict(np.load(io.BytesIO(found[0].model))) if found else None
 
 
-def _scored(m: dict | None, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Score and number of windows of each text."""
-    best, count = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64)
-    group: list[tuple[int, tuple, np.ndarray]] = []
-    held = 0
+class _Numbers(dict):
+    """Numbers of words, from 1; new: the words that were met since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
 
-    def through() -> None:
-        logits = text_logits(m, [d for _, d, _ in group], starts=[s for _, _, s in group]) if group else []
-        for (k, _, _), x in zip(group, logits):
-            best[k], count[k] = max(best[k], x.max()), count[k] + len(x)
-        group.clear()
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self) + 1
+        return n
 
-    for k, text in enumerate(texts if m else []):
-        for data, starts in pieces(text or ""):
-            group.append((k, data, starts))
-            held += len(data[1])
-            if held >= PIECE:
-                through()
-                held = 0
-    through()
-    return np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best, -500, 500))), 0.0), count
+
+class Scorer:
+    """Scores texts; keeps what the words met add to the gates."""
+
+    def __init__(self, m: dict | None) -> None:
+        self.m, self.held = m, 0  # held: letters and what is between them, of the group
+        self._empty()
+
+    def _empty(self) -> None:
+        self.numbers, self.letters = _Numbers(), 0
+        if self.m:
+            self.af, self.ab = _gates(self.m, np.zeros((1, 2 * DIM), np.float32))  # no word
+
+    def _read(self, lowered: str) -> tuple[np.ndarray | tuple, int, Callable[[int], int]]:
+        """For pieces(): numbers of the words, or their features where a word is one only of several in a run of letters."""
+        self.held += len(lowered)
+        runs = _RUN.findall(lowered)
+        if runs and len(max(runs, key=len)) > LONGEST_WORD:
+            return _read_features(lowered)
+        numbers = np.fromiter(map(self.numbers.__getitem__, runs), np.int32, len(runs))
+        return numbers, len(numbers), lambda k: next(islice(_RUN.finditer(lowered), k, None)).start()
+
+    def _learn(self) -> None:
+        """Gates of the new words."""
+        new = self.numbers.new
+        if not new:
+            return
+        for mine, more in zip(("af", "ab"), _gates(self.m, inputs(self.m, *_features(" ".join(new))[:3]))):
+            held, n = getattr(self, mine), len(self.numbers) + 1
+            if n > len(held):
+                setattr(self, mine, held := np.concatenate([held, np.empty((max(n, 2 * len(held)) - len(held), held.shape[1]), held.dtype)]))
+            held[n - len(new) : n] = more
+        self.letters += sum(map(len, new))
+        new.clear()
+
+    def _logits(self, group: list[tuple[int, np.ndarray | tuple, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+        self._learn()
+        for kind, logits in (
+            (tuple, lambda data, starts: text_logits(self.m, data, starts=starts)),
+            (np.ndarray, lambda data, starts: _gated_logits(self.m, self.af, self.ab, np.concatenate([*data, np.zeros(1, np.int32)]), np.array([len(d) for d in data]), starts)),
+        ):
+            own = [g for g in group if isinstance(g[1], kind)]
+            if own:
+                yield from zip([k for k, _, _ in own], logits([d for _, d, _ in own], [s for _, _, s in own]))
+        if len(self.numbers) > KEPT or self.letters > KEPT_LETTERS:
+            self._empty()
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Score and number of windows of each text."""
+        best, count = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64)
+        group: list[tuple[int, np.ndarray | tuple, np.ndarray]] = []
+
+        def through() -> None:
+            for k, x in self._logits(group):
+                best[k], count[k] = max(best[k], x.max()), count[k] + len(x)
+            group.clear()
+            self.held = 0
+
+        for k, text in enumerate(texts if self.m else []):
+            for data, starts in pieces(text or "", self._read):
+                group.append((k, data, starts))
+                if self.held >= PIECE:
+                    through()
+        through()
+        return np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best, -500, 500))), 0.0), count
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
@@ -403,8 +481,9 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)  # of fixed size
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = Scorer(sent.value)
         for batch in batches:
-            value, count = _scored(sent.value, batch.column(1).to_pylist())
+            value, count = scored(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value, pa.float64()), pa.array(count, pa.int64())], names=["doc_id", "score", "n_windows"])
 
     return common.documents(docs).mapInArrow(rows, "doc_id long, score double, n_windows long")
@@ -418,9 +497,10 @@ def harmless(docs: DataFrame, model: dict[str, np.ndarray] | None, threshold: fl
     sent, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = Scorer(sent.value)
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array(_scored(sent.value, batch.column(at).to_pylist())[0] < threshold))
+                yield batch.filter(pa.array(scored(batch.column(at).to_pylist())[0] < threshold))
 
     return docs.mapInArrow(rows, docs.schema)
 

@@ -77,6 +77,36 @@ def test_pieces_of_odd_texts():
     assert len(list(toxicity.pieces("x" * 500_000))) > 1
 
 
+def test_a_word_that_comes_again_is_not_computed_again(monkeypatch):
+    seen, plain = [], toxicity.inputs
+    monkeypatch.setattr(toxicity, "inputs", lambda m, words, grams, start: seen.append(len(words)) or plain(m, words, grams, start))
+    scored = toxicity.Scorer(toxicity.new_model(1))
+    scored([" ".join(f"w{k % 37}" for k in range(60_000)), "w1 w2 new"])
+    scored(["New, w3", "w4 w5"])
+    assert sum(seen) == 38
+
+
+@pytest.mark.parametrize("kept, letters", [(1 << 16, 1 << 20), (5, 1 << 20), (1 << 16, 100)])
+def test_kept_words_score_as_computed_ones(monkeypatch, kept, letters):
+    monkeypatch.setattr(toxicity, "KEPT", kept)
+    monkeypatch.setattr(toxicity, "KEPT_LETTERS", letters)
+    m, rng = toxicity.new_model(1), np.random.default_rng(7)
+    pool = ["a", "Straße", "ΌΔΟΣ", "x" * 2048, "x" * 2049, "y" * 5000, "日本語", "²", "a_b", "1", "İ", "don't", "\ud800q", "e\u0301", "-", "\0", *(f"w{k}" for k in range(300))]
+    texts = [" ".join(rng.choice(pool, n)) for n in (1, 2, 24, 25, 48, 49, 72, 73, 500, 3000)]
+    texts += [None, "", " ,_", "w1 " * 100_000, "x" * 300_000, "w2 w3 " * 30_000 + "z" * 2100 + " w4" * 40_000, *texts[:4]]
+    scored = toxicity.Scorer(m)
+    best, count = (np.concatenate(x) for x in zip(scored(texts[:9]), scored(texts[9:])))
+    for text, score, n in zip(texts, best, count):
+        logits = [x for d, s in toxicity.pieces(text or "") for x in toxicity.text_logits(m, [d], starts=[s])[0]]
+        assert n == len(logits) and np.isclose(score, 1 / (1 + np.exp(-max(logits))) if logits else 0, atol=1e-6)
+    assert len(scored.numbers) <= kept
+
+
+def test_runs_are_of_the_letters_of_words():
+    marked = toxicity._word_letters()
+    assert all(bool(toxicity._RUN.fullmatch(chr(c))) == marked[c] for c in range(0x110000))
+
+
 def test_a_text_over_the_letters_of_the_sample_is_passed_over(spark):
     docs = spark.createDataFrame([(1, "bad " * 50), (2, "good " * 50), (3, "bad " * 9000)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
